@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tesserae.llm import q_prose, q_runs
+from tesserae.llm import q_leaks, q_prose, q_runs
 
-_PARTS = [q_runs, q_prose]
+_PARTS = [q_runs, q_leaks, q_prose]
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 SQL = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
