@@ -1,3 +1,3 @@
 """Registered queries of the core, by module."""
 
-CATALOGS = ["tesserae.plans.redelivery"]
+CATALOGS = ["tesserae.plans.redelivery", "tesserae.plans.usage"]
