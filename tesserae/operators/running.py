@@ -17,13 +17,12 @@ def running_sum(df: DataFrame, keys: list[str], place: str, ties: list[str], val
     rows = df.withColumn("_v", F.coalesce(value, F.lit(0)).cast("long")).withColumn("_b", F.floor(F.coalesce(F.col(place).cast("long"), F.lit(-(2**62))) / block))
     sums = rows.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
+    offsets = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
     inside = Window.partitionBy(*keys, "_b").orderBy(F.col(place).asc_nulls_first(), *ties).rowsBetween(Window.unboundedPreceding, 0)
-    same = [rows[k].eqNullSafe(offsets[k]) for k in [*keys, "_b"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    joined = rows.join(offsets, cond).select(*[rows[c] for c in rows.columns], offsets["_o"])
+    cond = F.col("_b") == F.col("_kb")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = rows.join(offsets, cond).drop("_kb", *[f"_k{i}" for i in range(len(keys))])
     return joined.withColumn(out, F.col("_o") + F.sum("_v").over(inside)).drop("_v", "_b", "_o")
 
 
