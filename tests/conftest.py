@@ -1,6 +1,9 @@
+import glob
+import math
 import os
 import sys
 
+import duckdb
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -25,3 +28,36 @@ def sf():
     if not os.path.isdir(path):
         pytest.skip("no test tables here")
     return path
+
+
+def norm(v):
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else round(v, 6)
+    if isinstance(v, (list, tuple)):
+        return tuple(norm(x) for x in v)
+    if hasattr(v, "isoformat"):
+        return v.replace(tzinfo=None).isoformat() if hasattr(v, "hour") else v.isoformat()
+    return v
+
+
+def _compare(spark, sf, f, sql):
+    df = f(spark, sf)
+    cols = sorted(df.columns)
+    got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
+    if sql is None:
+        return
+    con = duckdb.connect()
+    con.execute("set timezone='UTC'")
+    for p in glob.glob(sf + "/*.parquet"):
+        con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    r = con.sql(sql)
+    names = list(r.columns)
+    assert sorted(names) == cols
+    want = sorted((tuple(norm(x[names.index(c)]) for c in cols) for x in r.fetchall()), key=repr)
+    assert got == want
+
+
+@pytest.fixture(scope="session")
+def compare():
+    """compare(spark, folder, query, sql): runs the query and, if there is SQL, holds its rows against those of DuckDB."""
+    return _compare

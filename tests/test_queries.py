@@ -1,10 +1,5 @@
 """Every registered query of the core runs, and agrees with its SQL, on the smallest tables."""
 
-import glob
-import math
-import os
-
-import duckdb
 import pytest
 
 from tesserae.plans import CATALOGS
@@ -19,35 +14,8 @@ def catalogs():
 NAMES = sorted(n for c in catalogs() for n in c.QUERIES)
 
 
-def norm(v):
-    if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6)
-    if isinstance(v, (list, tuple)):
-        return tuple(norm(x) for x in v)
-    if hasattr(v, "isoformat"):
-        return v.replace(tzinfo=None).isoformat() if hasattr(v, "hour") else v.isoformat()
-    return v
-
-
-def compare(spark, sf, f, sql):
-    df = f(spark, sf)
-    cols = sorted(df.columns)
-    got = sorted((tuple(norm(r[c]) for c in cols) for r in df.collect()), key=repr)
-    if sql is None:
-        return
-    con = duckdb.connect()
-    con.execute("set timezone='UTC'")
-    for p in glob.glob(sf + "/*.parquet"):
-        con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
-    r = con.sql(sql)
-    names = list(r.columns)
-    assert sorted(names) == cols
-    want = sorted((tuple(norm(x[names.index(c)]) for c in cols) for x in r.fetchall()), key=repr)
-    assert got == want
-
-
 @pytest.mark.parametrize("name", NAMES)
-def test_query(spark, sf, name):
+def test_query(spark, sf, compare, name):
     f, sql = next((c.QUERIES[name], c.SQL.get(name)) for c in catalogs() if name in c.QUERIES)
     compare(spark, sf, f, sql)
 
