@@ -52,7 +52,7 @@ DETECTORS = [
     ("cookie", r"(?i)cookie(?:\\?[\"'`])?\s*[:=,]\s*(?:\\?[\"'`])?(?:[\w.-]+=[^;\s\"'`]*;\s*)*?(?:[\w.-]*(?:sid|sess|token|auth)[\w.-]*)=([^;\s\"'`]{8,})", "token"),
     ("url", r"(?i)[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'`<>]{0,80}:([^\s/@\"'`<>]{4,})@[\w.\[-]", "url"),
     ("flag", r"(?i)--?(?:[\w-]*-)?(?:password|passwd|pass|passphrase|token|secret|api-?key|access-key|private-key|credentials?)(?:=|\s+|['\"]\s*,\s*)(?:(['\"])([^\s'\"]{6,})\1|([^\s'\"`,;)\]]{6,}))", "token"),
-    ("user", r"(?:\s-u|--user)[ =]['\"]?[\w.@-]+:([^\s'\"]{6,})", "token"),
+    ("user", r"(?:[ \t]-u|--user)[ =]['\"]?[\w.@-]+:([^\s'\"]{6,})", "token"),
     ("prose", r"(?i)(?<![-])(?:" + _KEY + r"|passcode|api key|(?:access|bearer|session|auth|refresh) token)s?(?:[ \t]+(?:is|was|to|of|for \S+|are))?[ \t]*:?[ \t]+(?:[`\"'](\S{6,}?)[`\"']|([^\s`\"',;]{8,}))", "token"),
 ]
 
