@@ -17,24 +17,34 @@ def canonical_event_id(c: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(c), HEX64, 0), F.lit(""))
 
 
+def _plain_correlation(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[\s ​﻿]+", ""), r"sha-?256[:=-]", "")
+
+
 def canonical_correlation_id(c: Column) -> Column:
     """A correlation id without white space and in lower case, its digest without an algorithm's name; null if it holds no digest."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(c), r"[\s ​﻿]+", ""), r"sha-?256[:=-]", "")
+    plain = _plain_correlation(c)
     return F.when(plain.rlike(HEX64), plain)
 
 
 def _identified(df: DataFrame) -> DataFrame:
-    """delivery_id, rank, e and c (keys of both identifiers within the repository, or null) and p (key of the pair)."""
-    event, corr = canonical_event_id(F.col("event_id")), canonical_correlation_id(F.col("correlation_id"))
+    """delivery_id, rank, e and c (keys of both identifiers within the repository, or null) and p (key of the pair).
+
+    No filter here: it would be pushed below and have the identifiers worked out twice for each row. Rows without identifiers share
+    one p, fall together map-side and are dropped from the pairs.
+    """
     repo = F.col("repository_id")
+    # one projection for each step, as an expression that is used twice in one is worked out twice
+    plain = df.select(
+        "delivery_id", "repository_id", F.struct(F.col("delivered_at").isNull().alias("late"), F.col("delivered_at").alias("at"), F.col("delivery_id").alias("id")).alias("rank"),
+        F.regexp_extract(F.lower("event_id"), HEX64, 0).alias("ev"), _plain_correlation(F.col("correlation_id")).alias("co"),
+    )
     return (
-        df.select(
-            "delivery_id",
-            F.struct(F.col("delivered_at").isNull().alias("late"), F.col("delivered_at").alias("at"), F.col("delivery_id").alias("id")).alias("rank"),
-            F.when(repo.isNotNull() & event.isNotNull(), digest(repo, F.lit("e"), event)).alias("e"),
-            F.when(repo.isNotNull() & corr.isNotNull(), digest(repo, F.lit("c"), corr)).alias("c"),
-        )
-        .filter("e is not null or c is not null")
+        plain.select(
+            "delivery_id", "rank",
+            F.when(repo.isNotNull() & (F.col("ev") != ""), digest(repo, F.lit("e"), F.col("ev"))).alias("e"),
+            F.when(repo.isNotNull() & F.col("co").rlike(HEX64), digest(repo, F.lit("c"), F.col("co"))).alias("c"),
+        )
         .withColumn("p", F.concat(F.coalesce("e", F.lit("-")), F.coalesce("c", F.lit("-"))))
     )
 
@@ -44,7 +54,7 @@ def repeated_groups(df: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame,
     rows = _identified(df)
     # copies with the same pair of identifiers fall together map-side, however many there are
     # (a checkpoint, as three branches read it)
-    pairs = cut(rows.groupBy("p", "e", "c").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank")))
+    pairs = cut(rows.groupBy("p", "e", "c").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("rank")).filter("e is not null or c is not null"))
     distinct_pairs = pairs.count()
     marks = pairs.select("p", "n", F.explode(F.array_compact(F.array("e", "c"))).alias("k"))
     # frequency of each identifier; a single one passes, a repeated one is ranked
