@@ -53,10 +53,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *by: str | Column) -> DataFrame:
-    """Repartition before costly per-row work: as many partitions as the shuffle setting, whatever the files' row groups were."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *by)
+def spread(df: DataFrame) -> DataFrame:
+    """Partitions enough for costly per-row work. A small table with few row groups is spread over the shuffle setting's partitions; one
+    whose files give every core two splits or more stays as it is, so that large contents are never shuffled for this."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if size // split >= 2 * spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def digest(*cols: Column) -> Column:
