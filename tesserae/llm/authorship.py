@@ -125,7 +125,7 @@ def measured_files(files: DataFrame) -> DataFrame:
     return spread(files.select("file_id", "file_path", "file_content")).mapInPandas(_measure, "file_id long, notice string, placed boolean, figures array<double>")
 
 
-def classify_files(files: DataFrame, threshold: float = 0.2, trees: int = 40, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
+def classify_files(files: DataFrame, threshold: float = 0.3, trees: int = 40, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
     """Rows (file_id, notice, score, is_case) for every file.
 
     The forest is fitted on at most `sample` files with a tool's notice or place and `sample` without any notice, drawn by a hash of
