@@ -23,6 +23,7 @@ def scan_tree(spark: SparkSession, root: str, max_file_bytes: int = 1 << 20, max
 
     Reasons: sensitive, ignored, unsupported, too_large, binary, not_utf8, file_limit, total_limit. Files are taken in the order of
     their paths up to max_files; the total is a first-fit pass, as a file that does not fit is skipped and the scan goes on.
+    Names that begin with a dot or an underscore are not listed by the reader, so they are never taken and have no row.
     Ignore rules are patterns, a later one overrules earlier ones and ! takes back; sensitive paths cannot be taken back.
     """
     importable(spark)
