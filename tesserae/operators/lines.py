@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import lines_of, not_blank
-from tesserae.operators.running import running_sum
+from tesserae.operators.running import running_max, running_sum
 
 FAILURE = r"^\s*(?:FAIL\b|FAILED\b|[×✕]\s|AssertionError\b|Error:|●\s)"
 PASSED = r"^\s*PASS\s+\S+\.[cm]?[jt]sx?(?:\s|$)|^\s*[✓√✔]\s+.+(?:\(\d+ tests?[^)]*\)|\d+(?:\.\d+)?\s?m?s)\s*$"
@@ -34,9 +34,8 @@ def expanded_runs(runs: DataFrame, key: str) -> DataFrame:
 
 def latched_lines(df: DataFrame, keys: list[str], place: str, line: Column) -> DataFrame:
     """df with `fails`, `after_failure` (a failure line at or before this one) and `grouped`: a passing line before any failure."""
-    w = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumn("fails", F.coalesce(line.rlike(FAILURE), F.lit(False)))
-    rows = rows.withColumn("after_failure", F.max("fails").over(w))
+    rows = running_max(rows, keys, place, [], F.col("fails").cast("int"), "_f").withColumn("after_failure", F.col("_f") == 1).drop("_f")
     return rows.withColumn("grouped", F.coalesce(line.rlike(PASSED), F.lit(False)) & ~F.col("after_failure"))
 
 

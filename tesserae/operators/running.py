@@ -8,22 +8,35 @@ from pyspark.sql import functions as F
 from tesserae.functions.runtime import cut
 
 
-def running_sum(df: DataFrame, keys: list[str], place: str, ties: list[str], value: Column, out: str = "upto", block: int = 4096) -> DataFrame:
-    """df with `out`: the sum of `value` over the rows of the group up to and with this one, by `place` (a long) and `ties`.
-
-    Two levels: sums of blocks of `block` places, then rows within their block. A group of any length is thus spread over tasks, and
-    only its block sums are put in order together. Rows with a null place come first; a null value counts as 0.
-    """
-    rows = df.withColumn("_v", F.coalesce(value, F.lit(0)).cast("long")).withColumn("_b", F.floor(F.coalesce(F.col(place).cast("long"), F.lit(-(2**62))) / block))
-    sums = rows.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
+def _running(df: DataFrame, keys: list[str], place: str, ties: list[str], value: Column, out: str, block: int, how: str) -> DataFrame:
+    agg = F.sum if how == "sum" else F.max
+    empty = F.lit(0 if how == "sum" else None).cast("long")
+    rows = df.withColumn("_v", F.coalesce(value.cast("long"), empty)).withColumn("_b", F.floor(F.coalesce(F.col(place).cast("long"), F.lit(-(2**62))) / block))
+    sums = rows.groupBy(*keys, "_b").agg(agg("_v").alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
+    offsets = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), F.coalesce(agg("_s").over(before), empty).alias("_o"))
     inside = Window.partitionBy(*keys, "_b").orderBy(F.col(place).asc_nulls_first(), *ties).rowsBetween(Window.unboundedPreceding, 0)
     cond = F.col("_b") == F.col("_kb")
     for i, k in enumerate(keys):
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     joined = rows.join(offsets, cond).drop("_kb", *[f"_k{i}" for i in range(len(keys))])
-    return joined.withColumn(out, F.col("_o") + F.sum("_v").over(inside)).drop("_v", "_b", "_o")
+    own = agg("_v").over(inside)
+    total = F.col("_o") + own if how == "sum" else F.greatest("_o", own)
+    return joined.withColumn(out, total).drop("_v", "_b", "_o")
+
+
+def running_sum(df: DataFrame, keys: list[str], place: str, ties: list[str], value: Column, out: str = "upto", block: int = 4096) -> DataFrame:
+    """df with `out`: the sum of `value` over the rows of the group up to and with this one, by `place` (a long) and `ties`.
+
+    Two levels: sums of blocks of `block` places, then rows within their block. A group of any length is thus spread over tasks, and
+    only its block sums are put in order together. Rows with a null place come first; a null value counts as 0.
+    """
+    return _running(df, keys, place, ties, value, out, block, "sum")
+
+
+def running_max(df: DataFrame, keys: list[str], place: str, ties: list[str], value: Column, out: str = "most", block: int = 4096) -> DataFrame:
+    """The same for the greatest value so far; nulls do not count, and it is null where none came yet."""
+    return _running(df, keys, place, ties, value, out, block, "max")
 
 
 def greedy_fill(df: DataFrame, keys: list[str], order: list[Column], cost: str, budget: Column, item: str) -> DataFrame:

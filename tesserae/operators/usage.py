@@ -145,7 +145,7 @@ def merge_import(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def reject_conflicts(merged: DataFrame) -> DataFrame:
     """The new events of a merge; fails when it runs if any event conflicts."""
-    ok = F.when(F.col("outcome") == "conflict", F.raise_error(F.lit("Conflicting stored usage event; import rejected")).cast("boolean")).otherwise(F.col("outcome") == "new")
+    ok = F.when(F.col("outcome") == "conflict", F.raise_error(F.lit("import rejected: an event conflicts with the stored one")).cast("boolean")).otherwise(F.col("outcome") == "new")
     return merged.filter(ok).drop("outcome")
 
 

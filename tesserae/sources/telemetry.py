@@ -31,14 +31,14 @@ def merged(a: Column, b: Column) -> Column:
 def token_count(c: Column) -> Column:
     """A count from text: digits only, exact in double precision; anything else that is not null fails."""
     ok = c.rlike(r"^\d{1,16}$") & (c.cast("decimal(20,0)") <= SAFE_INT)
-    return F.when(c.isNull(), F.lit(None).cast("long")).when(ok, c.cast("long")).otherwise(F.raise_error(F.lit("Usage token values must be nonnegative safe integers or null")).cast("long"))
+    return F.when(c.isNull(), F.lit(None).cast("long")).when(ok, c.cast("long")).otherwise(F.raise_error(F.lit("a token count must be null or an exact number from 0")).cast("long"))
 
 
 def nanoseconds(c: Column) -> Column:
     """Nanoseconds since the epoch as decimal(25,0); more than 25 digits or beyond the largest date fails."""
     value = c.cast("decimal(25,0)")
     ok = c.rlike(r"^\d{1,25}$") & (value <= F.lit(str(MAX_NANOS)).cast("decimal(25,0)"))
-    return F.when(c.isNull(), F.lit(None).cast("decimal(25,0)")).when(ok, value).otherwise(F.raise_error(F.lit("Invalid nanosecond timestamp")).cast("decimal(25,0)"))
+    return F.when(c.isNull(), F.lit(None).cast("decimal(25,0)")).when(ok, value).otherwise(F.raise_error(F.lit("not a time in nanoseconds")).cast("decimal(25,0)"))
 
 
 def nanos_to_timestamp(c: Column) -> Column:
@@ -68,7 +68,7 @@ def metric_points(df: DataFrame, key: str, text: str, metric: str) -> DataFrame:
     scope = res.select(key, attributes(F.col("res.resource.attributes")).alias("ra"), F.explode("res.scopeMetrics").alias("s"))
     m = scope.select(key, "ra", F.explode("s.metrics").alias("m")).filter(F.col("m.name") == metric)
     t = F.col("m.sum.aggregationTemporality")
-    checked = F.when(t.isin(1, 2), t).otherwise(F.raise_error(F.lit("metric requires explicit temporality 1 or 2")).cast("int"))
+    checked = F.when(t.isin(1, 2), t).otherwise(F.raise_error(F.lit("a metric needs temporality 1 or 2")).cast("int"))
     p = m.select(key, "ra", checked.alias("temporality"), F.explode("m.sum.dataPoints").alias("p"))
     value = F.coalesce(token_count(F.col("p.asInt")), F.col("p.asDouble").cast("long"))
     return p.select(key, merged(F.col("ra"), attributes(F.col("p.attributes"))).alias("attributes"), "temporality", nanoseconds(F.col("p.startTimeUnixNano")).alias("start_nanos"), nanoseconds(F.col("p.timeUnixNano")).alias("time_nanos"), value.alias("value"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import redaction as X
 from tesserae.functions.text import compact_json, csv_cell, estimated_tokens, is_indexed_sensitive, normalized_path, task_words, words
 from tesserae.operators import graph, lines, reduce, snapshots, stats, store, usage
-from tesserae.operators.running import greedy_fill, running_sum
+from tesserae.operators.running import greedy_fill, running_max, running_sum
 from tesserae.sources import telemetry as M
 from tesserae.streaming.redaction import WITHHELD, StreamRedactor
 
@@ -134,6 +134,11 @@ def test_running_sum_and_greedy(spark):
         acc[k] = acc.get(k, 0) + (v or 0)
         want[i] = acc[k]
     assert {x["place"]: x["upto"] for x in running_sum(df, ["k"], "place", [], F.col("v"), block=16).collect()} == want
+    most, acc = {}, {}
+    for k, i, v in rows:
+        acc[k] = v if acc.get(k) is None else acc[k] if v is None else max(acc[k], v)
+        most[i] = acc[k]
+    assert {x["place"]: x["most"] for x in running_max(df, ["k"], "place", [], F.col("v"), block=16).collect()} == most
     items = [(k or "h", i, v) for k, i, v in rows]
     got = {x["place"] for x in greedy_fill(spark.createDataFrame(items, "k string, place long, v long"), ["k"], [F.col("place")], "v", F.lit(333), "place").collect()}
     take, left = set(), {"g": 333, "h": 333}
@@ -230,7 +235,7 @@ def test_metric_export_and_turns(spark):
     with pytest.raises(Exception, match="whole"):
         M.completed_turns(spark.createDataFrame([(1, turn.replace("80", "180"))], "k int, l string"), "k", "l").collect()
     for bad in ("-1", "1.5", str(2**53)):
-        with pytest.raises(Exception, match="safe integers"):
+        with pytest.raises(Exception, match="exact number"):
             one(spark, bad, M.token_count)
 
 
@@ -255,7 +260,7 @@ def test_usage_coverage(spark):
     assert usage.observed_total(df(event(1, "a", 15), event(2, "b", 77, "who knows")), "repository_id").first()["observed_total"] == 15
     merged = usage.merge_import(df(event(1, "a", 1)), df(event(2, "a", 1), event(3, "a", 2), event(4, "n", 1)))
     assert {x["ordinal"]: x["outcome"] for x in merged.collect()} == {2: "duplicate", 3: "conflict", 4: "new"}
-    with pytest.raises(Exception, match="Conflicting"):
+    with pytest.raises(Exception, match="conflicts"):
         usage.reject_conflicts(merged).collect()
     assert usage.coverage_groups(df(event(1, "a", 1)).filter("false")).count() == 0
 
