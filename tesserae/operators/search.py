@@ -35,13 +35,14 @@ def text_matches(tasks: DataFrame, docs: DataFrame, limit: int = 300, terms: int
     q = tasks.select("task_id", F.explode(F.slice(task_words(F.col("task")), 1, terms)).alias("term")).distinct()
     wanted = q.select("term").distinct()
     counted = docs.filter("content is not null").select("doc_id", tokens(F.col("content")).alias("t"))
-    size = counted.select(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("t")).alias("avg_len"))
+    n_docs, avg_len = counted.select(F.count(F.lit(1)), F.avg(F.size("t"))).first()
+    avg_len = avg_len or 1.0
     hits = counted.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
     tf = hits.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = tf.join(df, "term").crossJoin(F.broadcast(size)).join(q, "term")  # size is one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    rows = tf.join(df, "term").join(q, "term")
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(avg_len)))
     scored = rows.groupBy("task_id", "doc_id").agg(F.round(F.sum(gain), 6).alias("rank_score"))
     w = Window.partitionBy("task_id").orderBy(F.desc("rank_score"), "doc_id")
     return scored.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= limit).drop("_k")
