@@ -12,6 +12,7 @@ from tesserae.functions import redaction as X
 from tesserae.functions.text import compact_json, csv_cell, estimated_tokens, is_indexed_sensitive, normalized_path, task_words, words
 from tesserae.operators import graph, lines, reduce, snapshots, stats, store, usage
 from tesserae.operators.running import greedy_fill, running_max, running_sum
+from tesserae.plans import evidence
 from tesserae.sources import telemetry as M
 from tesserae.streaming.redaction import WITHHELD, StreamRedactor
 
@@ -285,3 +286,17 @@ def test_statistics(spark):
     got = {x["condition"]: x for x in stats.condition_rollup(df, ["native", "treated", "none"]).collect()}
     assert got["native"]["tokens_per_success"] == 100 and got["treated"]["tokens"] is None and got["none"]["runs"] == 0 and got["none"]["success_rate"] is None
     assert stats.paired_differences(df, "treated", "native").first()["token_difference"] == -20
+
+
+def test_bootstrap_of_all_tasks(spark, sf):
+    assert list(stats.lcg_slice(42, 1000, 777)) == list(stats.lcg_states(42, 1777)[1000:])
+    rng = random.Random(3)
+    groups = {"a": [rng.uniform(-1, 1) for _ in range(50)], "b": [rng.choice([-1.0, 0.0, 0.5]) for _ in range(17)], "c": [0.25]}
+    df = spark.createDataFrame([(g, i * 1000, v) for g, vs in groups.items() for i, v in enumerate(vs)], "g string, _o long, v double")
+    for block in (7, 2**21):
+        got = {r["g"]: r for r in stats.bootstrap_by(df, "g", "v", block=block).collect()}
+        for g, vs in groups.items():
+            ends = stats.bootstrap_interval(vs) or (None, None)
+            assert got[g]["n"] == len(vs) and got[g]["mean"] == pytest.approx(sum(vs) / len(vs)) and (got[g]["low"], got[g]["high"]) == (pytest.approx(ends) if len(vs) > 1 else ends)
+    assert stats.bootstrap_by(df.filter("false"), "g", "v").count() == 0
+    assert evidence.paired_bootstrap(spark, sf).first()["n"] == evidence.paired_differences(spark, sf).count()
