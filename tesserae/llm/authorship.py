@@ -11,6 +11,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from math import log2, log10
 
 import numpy as np
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.runtime import cut, spread
 
-#: Labelled rows of each class that the forest is fitted on at most.
+#: Labelled rows of the larger class that the forest is fitted on at most.
 SAMPLE = 8_000
+#: Parts of the files; each is scored by a forest of the others.
+FOLDS = 3
 
 # Notices of tools and of third parties in a header (fixed values).
 _TOOL = re.compile(
@@ -125,13 +128,18 @@ def measured_files(files: DataFrame) -> DataFrame:
     return spread(files.select("file_id", "file_path", "file_content")).mapInPandas(_measure, "file_id long, notice string, placed boolean, figures array<double>")
 
 
-def classify_files(files: DataFrame, threshold: float = 0.3, trees: int = 40, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
+def classify_files(files: DataFrame, threshold: float | None = None, trees: int = 40, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
     """Rows (file_id, notice, score, is_case) for every file.
 
-    The forest is fitted on at most `sample` files with a tool's notice or place and `sample` without any notice, drawn by a hash of
-    file_id; third-party copies look like hand-written source and are left out of the fit, they are cases by their notice alone.
-    score is the forest's share of votes that the body is not hand-written. Without both classes (an empty table, say) there is no
-    forest, score is null and only notices count. Null paths and contents count as empty; an empty content is no case.
+    The forest is fitted on a sample of at most about `sample` rows of the larger class, drawn by a hash of file_id: files with a tool's
+    notice or place, and files without any notice. Both have one share, so that their ratio is the table's at every size; third-party
+    copies look like hand-written source and are left out, they are cases by their notice alone. score is the share of votes that the
+    body is not hand-written, of a forest that has not seen the file: one is fitted for each third of the files on the other two, so that no
+    file's missing notice pushes its own votes down. If no threshold is given, it is that of the hundredths at which r^2 / q is greatest: r
+    is the share of labelled files at or above it, q that of all files (as files without a notice may be cases, precision is not known,
+    but r^2 / q is greatest where recall times precision is). Both are shares of the whole table. If a third leaves a class empty, one
+    forest serves all; without both classes in the sample (an empty table, say) score is null and only notices count.
+    Null paths and contents count as empty; an empty content is no case.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -139,12 +147,26 @@ def classify_files(files: DataFrame, threshold: float = 0.3, trees: int = 40, sa
     rows = cut(measured_files(files))
     labelled = rows.filter("notice is null or notice <> 'third'").withColumn("label", (F.col("notice").isNotNull() | F.col("placed")).cast("double"))
     counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    noticed = rows.select("file_id", "notice", F.lit(None).cast("double").alias("score"), F.col("notice").isNotNull().alias("is_case"))
     if len(counts) < 2:
-        return rows.select("file_id", "notice", F.lit(None).cast("double").alias("score"), F.col("notice").isNotNull().alias("is_case"))
+        return noticed
     u = F.xxhash64(F.lit(seed), "file_id") / 2.0**64 + 0.5
-    share = F.when(F.col("label") == 1.0, F.lit(min(1.0, sample / counts[1.0]))).otherwise(F.lit(min(1.0, sample / counts[0.0])))
-    train = labelled.filter(u < share).select(array_to_vector("figures").alias("features"), "label")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=9, minInstancesPerNode=2, featureSubsetStrategy="sqrt", subsamplingRate=0.8, maxBins=48, seed=seed, cacheNodeIds=False).fit(cut(train.repartition(8)))
-    scored = model.transform(rows.withColumn("features", array_to_vector("figures")))
+    fold = F.pmod(F.xxhash64(F.lit(seed + 1), "file_id"), F.lit(FOLDS)).cast("int")
+    train = cut(labelled.filter(u < min(1.0, sample / max(counts.values()))).select(array_to_vector("figures").alias("features"), "label", fold.alias("fold")).repartition(8))
+    seen = {(r["fold"], r["label"]) for r in train.select("fold", "label").distinct().collect()}
+    if len({y for _, y in seen}) < 2:
+        return noticed
+    folds = FOLDS if all(any(f != k and y == label for f, y in seen) for k in range(FOLDS) for label in (0.0, 1.0)) else 1
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=9, minInstancesPerNode=2, featureSubsetStrategy="sqrt", subsamplingRate=0.8, maxBins=48, seed=seed, cacheNodeIds=False)
+    models = [forest.fit(train.filter(F.col("fold") != k) if folds > 1 else train) for k in range(folds)]
     score = vector_to_array("probability")[1]
-    return scored.select("file_id", "notice", score.alias("score"), (F.col("notice").isNotNull() | ((score >= threshold) & (F.element_at("figures", 1) > 0))).alias("is_case"))
+
+    rows = rows.select("*", array_to_vector("figures").alias("features"), fold.alias("fold"))
+    parts = [m.transform(rows.filter(F.col("fold") == k) if folds > 1 else rows) for k, m in enumerate(models)]
+    scored = cut(reduce(DataFrame.unionByName, parts).select("file_id", "notice", "placed", score.alias("score"), (F.element_at("figures", 1) > 0).alias("filled")))
+    if threshold is None:
+        own = scored.filter("filled and (notice is null or notice <> 'third')").groupBy(F.floor(F.col("score") * 100).alias("at"))
+        bins = own.agg(F.count_if(F.col("notice").isNotNull() | F.col("placed")).alias("r"), F.count(F.lit(1)).alias("q")).collect()  # at most 101
+        above = {t: (sum(b["r"] for b in bins if b["at"] >= t), sum(b["q"] for b in bins if b["at"] >= t)) for t in range(1, 101)}
+        threshold = max(above, key=lambda t: above[t][0] ** 2 / max(1, above[t][1])) / 100
+    return scored.select("file_id", "notice", "score", (F.col("notice").isNotNull() | ((F.col("score") >= threshold) & F.col("filled"))).alias("is_case"))

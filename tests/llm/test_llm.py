@@ -165,6 +165,15 @@ def test_forest_finds_what_bears_no_notice(spark):
     assert len(a) == len(b)
 
 
+def test_forest_sample_keeps_the_class_ratio(spark):
+    r = random.Random(8)
+    body = lambda: "".join(f"let {r.choice('abcdefgh')}{r.randrange(999)} = {r.randrange(9999)};\n" for _ in range(r.randrange(5, 30)))
+    rows = [(i, f"src/f{i}.ts", ("// Code generated by x. DO NOT EDIT.\n" if i % 20 == 0 else "") + body()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "file_id long, file_path string, file_content string")
+    mean = {n: classify_files(df, sample=n).agg(F.avg("score")).first()[0] for n in (200, 8000)}
+    assert abs(mean[200] - 0.05) < 0.05 and abs(mean[8000] - 0.05) < 0.05
+
+
 # --- 7: leaks
 
 OWN = [f"word{i}" if i % 3 else f"Name{i * 7}" for i in range(58)]
