@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import task_words, words
+from tesserae.functions.text import stem_of, task_words, words
+from tesserae.operators.graph import expand, resolved_imports
 
 
 @dataclass(frozen=True)
@@ -64,3 +65,25 @@ def relevance(tasks: DataFrame, files: DataFrame, matches: DataFrame, weights: W
     rows = rows.select("task_id", "file_id", F.coalesce("name_hits", F.lit(0)).cast("long").alias("name_hits"), F.coalesce("text_match", F.lit(False)).alias("text_match"), F.coalesce("explicit", F.lit(False)).alias("explicit"))
     score = F.col("name_hits") * weights.name + F.col("text_match").cast("int") * weights.text + F.col("explicit").cast("int") * weights.location
     return rows.withColumn("score", score.cast("double"))
+
+
+def with_related(scores: DataFrame, files: DataFrame, weights: Weights = Weights(), max_depth: int = 2, max_files: int | None = 64) -> DataFrame:
+    """(task_id, file_id, score): the scores of relevance() and the points of imports and related tests, also of files with no other.
+
+    Files with a name hit and explicit ones are a task's roots. A file reached from them by resolved imports gets weights.dependency /
+    depth; a test gets weights.test for each other root or reached file of its repository whose stem its name holds. That is an
+    equi-join on the parts of the test's name. files: repository_id, file_id, file_path, file_content, is_test.
+    """
+    f = files.select("repository_id", "file_id", "file_path")
+    roots = scores.filter("name_hits > 0 or explicit").join(f, "file_id").select(F.struct("task_id", "repository_id").alias("repository_id"), "file_path").distinct()
+    asked = roots.select("repository_id").distinct().select(F.col("repository_id").alias("key"), F.col("repository_id.repository_id").alias("repository_id"))
+    edges = resolved_imports(files).filter("outcome = 'ok'").join(asked, "repository_id").select(F.col("key").alias("repository_id"), "file_path", "specifier", "target")
+    reached = expand(edges, roots, max_depth, max_files).select("repository_id", "file_path", (F.lit(weights.dependency) / F.col("depth")).alias("points"))
+    near = roots.unionByName(reached.select("repository_id", "file_path")).select("repository_id.task_id", "repository_id.repository_id", F.col("file_path").alias("of"), stem_of(F.col("file_path")).alias("part"))
+    name = F.regexp_extract("file_path", r"([^/]*)$", 1)
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.transform(F.sequence(F.lit(1), F.length(name) - i + 1), lambda n: F.substr(name, i, n))))
+    tests = files.filter("is_test").select("repository_id", "file_path", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), parts))).alias("part"))
+    related = near.join(tests, ["repository_id", "part"]).filter("of <> file_path").select("task_id", "repository_id", "file_path", F.lit(float(weights.test)).alias("points"))
+    more = reached.select("repository_id.task_id", "repository_id.repository_id", "file_path", "points").unionByName(related).join(f, ["repository_id", "file_path"])
+    every = scores.select("task_id", "file_id", F.col("score").alias("points")).unionByName(more.select("task_id", "file_id", "points"))
+    return every.groupBy("task_id", "file_id").agg(F.sum("points").alias("score"))

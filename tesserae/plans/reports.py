@@ -9,6 +9,7 @@ from tesserae.functions.redaction import is_strict_json, redacted, sanitized_jso
 from tesserae.functions.runtime import table
 from tesserae.functions.tokens import exact_tokens, resolved_encoding
 from tesserae.operators.context import fragments
+from tesserae.operators.search import with_related
 from tesserae.plans.text import TASKS, relevance_scores
 from tesserae.sources.files import fingerprint
 
@@ -95,7 +96,7 @@ def encoding_resolution(spark, d):
 
 def context_fragments(spark, d):
     tasks = spark.createDataFrame(TASKS, "task_id string, task string")
-    scores = relevance_scores(spark, d).select("task_id", "file_id", "score").join(F.broadcast(tasks), "task_id")  # three tasks
+    scores = with_related(relevance_scores(spark, d), table(spark, d, "indexed_files")).join(F.broadcast(tasks), "task_id")  # three tasks
     none = scores.select("task_id", "file_id").filter("false")
     f = fragments(table(spark, d, "indexed_files"), table(spark, d, "source_symbols"), scores, none)
     return f.groupBy("task_id").agg(F.count(F.lit(1)).alias("fragments"), F.countDistinct("file_id").alias("files"), F.sum("score").alias("points"))

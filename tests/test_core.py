@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import redaction as X
 from tesserae.functions.text import compact_json, csv_cell, estimated_tokens, is_indexed_sensitive, normalized_path, task_words, words
-from tesserae.operators import graph, lines, reduce, snapshots, stats, store, usage
+from tesserae.operators import graph, lines, reduce, search, snapshots, stats, store, usage
 from tesserae.operators.running import greedy_fill, running_max, running_sum
 from tesserae.plans import evidence
 from tesserae.sources import telemetry as M
@@ -300,3 +300,10 @@ def test_bootstrap_of_all_tasks(spark, sf):
             assert got[g]["n"] == len(vs) and got[g]["mean"] == pytest.approx(sum(vs) / len(vs)) and (got[g]["low"], got[g]["high"]) == (pytest.approx(ends) if len(vs) > 1 else ends)
     assert stats.bootstrap_by(df.filter("false"), "g", "v").count() == 0
     assert evidence.paired_bootstrap(spark, sf).first()["n"] == evidence.paired_differences(spark, sf).count()
+
+
+def test_imports_and_related_tests_bring_points(spark):
+    rows = [(1, "src/quota.ts", "import { a } from './ledger';", False), (2, "src/ledger.ts", "import { b } from './base';", False), (3, "src/base.ts", "", False), (4, "tests/ledger.test.ts", "", True), (5, "tests/my-quota.test.ts", "", True), (6, "src/other.ts", "", False)]
+    files = spark.createDataFrame([("r", *x) for x in rows], "repository_id string, file_id long, file_path string, file_content string, is_test boolean")
+    scores = spark.createDataFrame([("t", 1, 1, False, 12.0)], "task_id string, file_id long, name_hits long, explicit boolean, score double")
+    assert {x["file_id"]: x["score"] for x in search.with_related(scores, files).collect()} == {1: 12.0, 2: 6.0, 3: 3.0, 4: 5.0, 5: 5.0}
