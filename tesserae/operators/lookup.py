@@ -25,3 +25,17 @@ def keyed_lookup(rows: DataFrame, per_key: DataFrame, key: str, count: str, hot_
     hot_keys = hot.select(key)
     by_shuffle = rows.join(F.broadcast(hot_keys), key, "left_anti").join(cold, key)
     return by_broadcast.unionByName(by_shuffle)
+
+
+def salted_join(rows: DataFrame, others: DataFrame, key: str, salt_by: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join on `key` where both sides may hold a key many times.
+
+    A key with n rows in `rows` is split into ceil(n / hot_rows) parts by a hash of `salt_by`, and the rows of `others` with such a key are
+    repeated for each part, so that no task meets more than about `hot_rows` rows of one key from `rows`. At most (rows / hot_rows) keys
+    are split, which bounds the broadcast of their counts. Null keys find nothing. `rows` is read twice and should be checkpointed.
+    """
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows).select(key, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(salt_by), parts).cast("int")).drop("_parts")
+    right = others.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
