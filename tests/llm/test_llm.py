@@ -190,18 +190,43 @@ ITEM = "Answer the question below.\n\n" + " ".join(OWN)
 )
 def test_leaks(text, leak):
     it = leaks.Items([(7, ITEM), (8, "only one paragraph of something else entirely")])
-    assert it.leaks(leaks.leak_words("Before it. " + text + " after it.")) == ([7] if leak else [])
+    assert it.leaks([["x"], leaks.leak_words("Before it. " + text + " after it.")]) == ([(1, 7)] if leak else [])
 
 
 def test_both_ways_agree(spark):
     docs = spark.createDataFrame([(1, "x " + " ".join(OWN[3:30])), (1, "x " + " ".join(OWN[3:30])), (2, None), (3, "no " * 5000), (4, " ".join(OWN) * 2)], "doc_id long, text string").withColumn("item_id", F.lit("q"))
     items = spark.createDataFrame([(7, ITEM), (9, None), (10, "")], "item_id long, item_text string").withColumn("text", F.lit("q"))
     a = {tuple(x) for x in leaks.leaked_items(docs, items).collect()}
-    b = {tuple(x) for x in leaks.leaked_items(docs, items, broadcast_bytes=0).collect()}
+    b = {tuple(x) for x in leaks.leaked_items(docs, items, index_bytes=0, hot_rows=3).collect()}
     assert a == b == {(1, 7), (4, 7)}
     assert leaks.leaked_items(docs, items.filter("false")).count() == 0 and leaks.leaked_items(docs.filter("false"), items).count() == 0
 
 
+def test_both_ways_agree_on_blank_lines_and_other_leaks(spark):
+    """Blank lines around an item, an item of one paragraph, seeds shared by all items and documents, replaced words, equal texts under several ids."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    phrase = [word() for _ in range(8)]
+    own = {i: [*phrase, *(word() for _ in range(60))] for i in range(30)}
+    items = [(i, f"\n \n\nDo this.\n\n{' '.join(w)}" if i % 3 == 0 else " ".join(w) + "\n\n" if i % 3 == 1 else f"Do this.\r\n\r\n{' '.join(w)}\n") for i, w in own.items()] + [(100, items_own(own[0])), (101, None)]
+    docs, want = [], set()
+    for d in range(120):
+        i = r.randrange(30)
+        part = own[i][10 : 10 + (20 if d % 2 else 14)] if d % 3 else [w if k % 10 else "other" for k, w in enumerate(own[i][:60], 1)]
+        docs.append((d, " ".join([*phrase, *(word() for _ in range(20)), *part, *(word() for _ in range(5))])))
+        if d % 3 == 0 or d % 2:
+            want |= {(d, i)} | ({(d, 100)} if i == 0 else set())
+    df, it = spark.createDataFrame([*docs, (5000, docs[1][1])], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    want |= {(5000, i) for d, i in want if d == 1}
+    a = {tuple(x) for x in leaks.leaked_items(df, it).collect()}
+    b = {tuple(x) for x in leaks.leaked_items(df, it, index_bytes=0, hot_rows=20).collect()}
+    assert a == b == want
+
+
+def items_own(words):
+    return "The suite.\n\n" + " ".join(words)
+
+
 # --- 8: mixture
 
 
