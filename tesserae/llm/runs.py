@@ -115,9 +115,10 @@ def collapse_runs(df: DataFrame, entity: Column, place: Column, key: Column, at:
     named = [f"_s{i}" for i in range(len(same))]
     rows = df.select(entity.alias("entity"), place.cast("long").alias("place"), key.cast("string").alias("key"), F.unix_micros(at).cast("double").alias("at"), *[c.alias(x) for c, x in zip(same, named)])
     rows = rows.filter("entity is not null").fillna({"place": -(2**62)})
+    # events are worked out once: finding range borders reads its input an extra time, and then reads only keys and fingerprints
+    rows = cut(rows.select("entity", "place", "key", "at", *_fingerprint(*[F.col(x) for x in named])))
     # the border of two partitions may fall inside a long sequence, so no sequence is held by one task
-    rows = rows.repartitionByRange(n, "entity", "place", "key").sortWithinPartitions("entity", "place", "key", *named)
-    rows = rows.select("entity", "place", "key", "at", *_fingerprint(*[F.col(x) for x in named]))
+    rows = rows.repartitionByRange(n, "entity", "place", "key").sortWithinPartitions("entity", "place", "key", "h1", "h2")
     parts = cut(rows.mapInPandas(_sweep, _PARTIAL))
     inner = parts.filter("not first and not last")
     # at most two runs of each partition touch its borders; only these are compared with their neighbours
