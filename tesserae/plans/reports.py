@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import text as X
 from tesserae.functions.redaction import is_strict_json, redacted, sanitized_json
 from tesserae.functions.runtime import table
-from tesserae.functions.tokens import exact_tokens, resolved_encoding
+from tesserae.functions.tokens import exact_tokens, resolved_encoding, ship
 from tesserae.operators.context import fragments
 from tesserae.operators.search import with_related
 from tesserae.plans.text import TASKS, relevance_scores
@@ -84,7 +84,7 @@ def redacted_chunks(spark, d):
 
 
 def exact_token_counts(spark, d):
-    return table(spark, d, "documents").select("doc_id", exact_tokens(F.col("text"), VOCABULARY).alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", exact_tokens(F.col("text"), ship(spark, VOCABULARY)).alias("tokens"))
 
 
 def encoding_resolution(spark, d):
