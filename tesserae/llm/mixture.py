@@ -7,35 +7,24 @@ total budget holds the shares to within one document of each source. Repeats of
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.runtime import cut, spread
+from tesserae.functions.tokens import encoding, ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Split pattern of the byte-level vocabulary (fixed value, public).
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-@lru_cache(maxsize=2)
-def _encoding(vocabulary: str):
-    import tiktoken
-
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Rows (doc_id, source, tokens): `text` measured by a public byte-level tokenizer; strings of special tokens are plain text. A null text has 0."""
+    ship(docs.sparkSession, vocabulary)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _encoding(vocabulary)
+        enc = encoding(vocabulary)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]]})
 

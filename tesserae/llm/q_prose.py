@@ -31,7 +31,8 @@ SQL = {
 with d as (
   select doc_id, coalesce(text, '') as t,
          regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+') as w,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda x: length(trim(x)) > 0) as l
+         list_filter(regexp_split_to_array(coalesce(text, ''), '\r?\n'), lambda x: length(trim(x)) > 0) as l,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '\r?\n(?:[ \t]*\r?\n)+'), lambda x: length(trim(x, ' ')) > 0) as p
   from documents
 )
 select doc_id, length(t) as characters, len(w) as words, len(l) as lines,
@@ -39,6 +40,7 @@ select doc_id, length(t) as characters, len(w) as words, len(l) as lines,
        case when length(t) > 0 then length(regexp_replace(t, '[\p{{L}}\p{{N}}\s]', '', 'g')) / length(t) end as symbol_share,
        case when len(l) > 0 then len(list_filter(l, lambda x: regexp_matches(x, '[.!?:;]["'')\]]*\s*$'))) / len(l) end as punctuated_line_share,
        case when len(w) > 0 then len(list_filter(w, lambda x: x in ({_WORDS}))) / len(w) end as common_word_share,
-       case when len(l) > 0 then (len(l) - len(list_distinct(l))) / len(l) end as duplicate_line_share
+       case when len(l) > 0 then (len(l) - len(list_distinct(l))) / len(l) end as duplicate_line_share,
+       case when len(p) > 0 then (len(p) - len(list_distinct(p))) / len(p) end as duplicate_paragraph_share
 from d"""
 }

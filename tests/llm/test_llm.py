@@ -277,7 +277,36 @@ SENTENCES = "The change in the reader looks small, but it alters how the rows ar
     ],
 )
 def test_prose(text, natural):
-    assert prose._judge(1, text)[-1] is natural
+    assert prose.judge(text, prose.known_words(prose.VOCABULARY))[-1] is natural
+
+
+FOREIGN = {
+    "it": "Il servizio conserva ogni voce finché la sessione non viene chiusa. Nessuno si era accorto che il contatore veniva letto due volte. La modifica sembra piccola ma cambia l'ordine delle righe.",
+    "pl": "Usługa przechowuje każdy wpis, dopóki sesja nie zostanie zamknięta. Nikt nie zauważył, że licznik był odczytywany dwa razy. Zmiana wygląda na małą, ale zmienia kolejność wierszy.",
+    "ru": "Служба хранит каждую запись, пока сеанс не будет закрыт. Никто не заметил, что счётчик читался дважды. Изменение кажется небольшим, но меняет порядок строк.",
+    "pt": "O serviço guarda cada registo até que a sessão seja fechada. Ninguém reparou que o contador era lido duas vezes. A alteração parece pequena, mas muda a ordem das linhas.",
+    "nl": "De dienst bewaart elke invoer totdat de sessie wordt gesloten. Niemand had gemerkt dat de teller twee keer werd gelezen. De wijziging lijkt klein maar verandert de volgorde van de regels.",
+    "id": "Layanan menyimpan setiap entri sampai sesi ditutup. Tidak ada yang memperhatikan bahwa penghitung dibaca dua kali. Perubahan itu tampak kecil tetapi mengubah urutan baris.",
+    "ja": "サービスはセッションが閉じられるまで各エントリを保持します。カウンターが二度読まれたことに誰も気づきませんでした。",
+}
+
+
+@pytest.mark.parametrize("lang", FOREIGN)
+def test_prose_of_languages_outside_the_lists(lang):
+    known = prose.known_words(prose.VOCABULARY)
+    assert prose.judge(FOREIGN[lang], known)[-1] is True
+    assert prose.judge(FOREIGN[lang].replace(". ", ".\n> "), known)[-1] is True
+    assert prose.judge("- " + FOREIGN[lang].split(" ")[0] + "\n- x: 4\n- [x] y\n" * 9, known)[-1] is False
+
+
+def test_repetition_by_shares():
+    assert prose.gram_coverage("a b c d e f g h i j k l m n o p".split()) == 0
+    words = ["spam", "egg"] * 12 + ["x", "yy", "zzz"]
+    assert abs(prose.gram_coverage(words) - 24 * 3.5 / sum(map(len, words))) < 1e-9
+    assert abs(prose.gram_coverage(["aa"] * 20, (2,)) - 1) < 1e-9 and prose.gram_coverage(["aa"] * 15) == 0
+    other = "What surprised us was that the reader stayed correct even though its queue was empty."
+    assert prose.judge(other + "\n\n" + SENTENCES)[-1] is True and prose.judge("\n\n".join([SENTENCES] * 2 + [other]))[-1] is True
+    assert prose.judge("\n\n".join([SENTENCES] * 4 + [other]))[-1] is False  # the same paragraph over and over
 
 
 def test_prose_odd_inputs(spark):
