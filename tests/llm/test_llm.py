@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tesserae.llm import leaks, mixture, pieces, prose, runs, secrets
-from tesserae.llm.authorship import classify_files, content_features, notice
+from tesserae.llm.authorship import FEATURES, classify_files, content_features, notice, parts_of
 
 # --- 3: runs
 
@@ -139,9 +139,15 @@ def test_oversized_items(spark):
 
 
 def test_notices():
-    assert notice("a/b.ts", "// @generated by x\nlet a") == "tool" and notice("a/package-lock.json", "{}") == "lock" and notice("third_party/x-1.2.3/a.ts", "") == "third"
+    assert notice("a/b.ts", "// @generated by x\nlet a") == "tool" and notice("a.md", "<!-- @generated -->") is None and notice("a.ts", "let a\n\n// @generated by x\n// of y\n") == "tool"
     assert notice("a.ts", "// Upstream: https://x\n// Copied unchanged.\n") == "third" and notice("a.ts", "const h = '// DO NOT EDIT';") is None
     assert notice("a.ts", "// Inspired by the layout of X, rewritten here from scratch.\n") is None and notice("", "") is None
+    # behind a licence of any length, and no text of it stays in the body
+    licence = "/*\n" + " * These are words of a long licence.\n" * 2000 + " */\n"
+    text = licence + "// @generated by x\nlet a = 1;\n/* made\n by DO NOT EDIT */\n"
+    assert notice("a.ts", text) == "tool" and parts_of(text)[1] == "let a = 1;\n" and "".join(parts_of(text)) == text
+    for odd in ("", "\n", "//", "/* open", "*/", "a */", "// x\n*/", "let a /* b\nc */", "#!x\n# y"):
+        assert "".join(parts_of(odd)) == odd
 
 
 def test_forest_finds_what_bears_no_notice(spark):
@@ -161,8 +167,23 @@ def test_forest_finds_what_bears_no_notice(spark):
     assert len(got) == len(rows) and not got[2000] and not got[2001]
     assert sum(got[i] for i in range(120)) <= 4 and sum(got[1000 + i] for i in range(60)) >= 57
     assert classify_files(df.filter("file_id < 5")).filter("is_case").count() == 0 and classify_files(df.filter("false")).count() == 0
-    a, b = content_features("x.ts", "// @generated\n" + made()), content_features("x.ts", made())
-    assert len(a) == len(b)
+    assert len(content_features("x.ts", made())) == len(content_features("", "")) == len(FEATURES) - 1
+
+
+def test_forest_finds_copies_that_bear_no_notice(spark):
+    """Third-party files read like all others; that the same body stands in many repositories tells, if some copies say whose it is."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 9)))
+    hand = lambda: "".join(f"export function {word()}{word().title()}({word()}) {{\n  return {word()}.{word()}('{word()} {word()}');\n}}\n\n" for _ in range(r.randrange(3, 9)))
+    libs = [hand() for _ in range(30)]
+    rows = [(i, f"r{i % 9}", f"src/{word()}.ts", hand()) for i in range(300)]
+    rows += [(1000 + 4 * n + k, f"r{k}", f"src/{word()}.ts", ("// Upstream: https://x\n" if n % 2 and not k else "") + body) for n, body in enumerate(libs) for k in range(4)]
+    df = spark.createDataFrame(rows, "file_id long, repository_id string, file_path string, file_content string")
+    a = classify_files(df)
+    got = {x["file_id"]: x["by_score"] for x in a.collect()}
+    assert sum(got[i] for i in range(300)) <= 15 and sum(v for i, v in got.items() if i >= 1000) >= 114  # of 300 and 120
+    b = {x["file_id"]: x["by_score"] for x in classify_files(df, hot_rows=3).collect()}
+    assert b.keys() == got.keys()
 
 
 def test_forest_sample_keeps_the_class_ratio(spark):
