@@ -175,13 +175,13 @@ def test_forest_finds_copies_that_bear_no_notice(spark):
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 9)))
     hand = lambda: "".join(f"export function {word()}{word().title()}({word()}) {{\n  return {word()}.{word()}('{word()} {word()}');\n}}\n\n" for _ in range(r.randrange(3, 9)))
-    libs = [hand() for _ in range(30)]
+    libs = [hand() for _ in range(60)]
     rows = [(i, f"r{i % 9}", f"src/{word()}.ts", hand()) for i in range(300)]
-    rows += [(1000 + 4 * n + k, f"r{k}", f"src/{word()}.ts", ("// Upstream: https://x\n" if n % 2 and not k else "") + body) for n, body in enumerate(libs) for k in range(4)]
+    rows += [(1000 + 4 * n + k, f"r{k}", f"src/{word()}.ts", ("// Upstream: https://x\n" if n % 3 and not k else "") + body) for n, body in enumerate(libs) for k in range(4)]
     df = spark.createDataFrame(rows, "file_id long, repository_id string, file_path string, file_content string")
     a = classify_files(df)
     got = {x["file_id"]: x["by_score"] for x in a.collect()}
-    assert sum(got[i] for i in range(300)) <= 15 and sum(v for i, v in got.items() if i >= 1000) >= 114  # of 300 and 120
+    assert sum(got[i] for i in range(300)) <= 15 and sum(v for i, v in got.items() if i >= 1000) >= 216  # of 300 and 240: nine of ten copies, of which a third bears no notice anywhere
     b = {x["file_id"]: x["by_score"] for x in classify_files(df, hot_rows=3).collect()}
     assert b.keys() == got.keys()
 
