@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.functions.runtime import table
-from tesserae.llm.syntax import defect_rates, parse_defects
+from tesserae.llm.syntax import defect_rates, parse_defects, unparsable
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose content is not valid in the language of their path."""
-    return parse_defects(table(spark, sf_dir, "indexed_files")).filter("edits > 0").select("file_id")
+    return unparsable(table(spark, sf_dir, "indexed_files"))
 
 
 def p2_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
