@@ -1,8 +1,8 @@
 """Credentials embedded in source code, configuration and output: where they stand, and the text without them.
 
-Method: a trigram index. Rows are taken in segments (Arrow batches); for each segment the positions of the needed trigrams are turned
-into posting lists, from each detection pattern a query of required trigrams is derived, posting lists are intersected and united by
-that query, and the pattern itself runs on the candidate rows only.
+Method: a trigram index over chunks. Texts are taken in segments (Arrow batches) and divided into chunks at line ends; for each segment the
+positions of the needed trigrams are turned into posting lists of chunks. From each detection pattern a query of required trigrams is
+derived, posting lists are intersected and united by that query, and the pattern itself is tried only from places in candidate chunks.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from math import log2
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.runtime import spread
+from tesserae.functions.runtime import cut, spread
+from tesserae.operators.running import running_max, running_sum
 
 try:
     from re import _constants as sre
@@ -51,7 +52,7 @@ DETECTORS = [
     ("header", r"(?i)x-(?:api-key|auth-token|access-token|vault-token)(?:\\?[\"'`])?\s*[:=,]\s*(?:\\?[\"'`])?([A-Za-z0-9._~+/=-]{8,})", "token"),
     ("cookie", r"(?i)cookie(?:\\?[\"'`])?\s*[:=,]\s*(?:\\?[\"'`])?(?:[\w.-]+=[^;\s\"'`]*;\s*)*?(?:[\w.-]*(?:sid|sess|token|auth)[\w.-]*)=([^;\s\"'`]{8,})", "token"),
     ("url", r"(?i)[a-z][a-z0-9+.-]{1,20}://[^\s/:@\"'`<>]{0,80}:([^\s/@\"'`<>]{4,})@[\w.\[-]", "url"),
-    ("flag", r"(?i)--?(?:[\w-]*-)?(?:password|passwd|pass|passphrase|token|secret|api-?key|access-key|private-key|credentials?)(?:=|\s+|['\"]\s*,\s*)(?:(['\"])([^\s'\"]{6,})\1|([^\s'\"`,;)\]]{6,}))", "token"),
+    ("flag", r"(?i)-(?:[\w-]*-)?(?:password|passwd|pass|passphrase|token|secret|api-?key|access-key|private-key|credentials?)(?:=|\s+|['\"]\s*,\s*)(?:(['\"])([^\s'\"]{6,})\1|([^\s'\"`,;)\]]{6,}))", "token"),
     ("user", r"(?:[ \t]-u|--user)[ =]['\"]?[\w.@-]+:([^\s'\"]{6,})", "token"),
     ("prose", r"(?i)(?<![-])(?:" + _KEY + r"|passcode|api key|(?:access|bearer|session|auth|refresh) token)s?(?:[ \t]+(?:is|was|to|of|for \S+|are))?[ \t]*:?[ \t]+(?:[`\"'](\S{6,}?)[`\"']|([^\s`\"',;]{8,}))", "token"),
 ]
@@ -174,6 +175,30 @@ def _exact_seq(seq) -> set[str] | None:
     return out
 
 
+def _tails(seq) -> set[str] | None:
+    """The few strings of one or two characters with which every match of a sequence ends; None if they are many."""
+    run: set[str] | None = {""}
+    for op, arg in seq:
+        run = _tails_after(run, op, arg)
+    return run if run and all(run) else None
+
+
+def _tails_after(before: set[str] | None, op, arg) -> set[str] | None:
+    """Endings of `before` followed by one node: its own, and those of `before` where it may match nothing."""
+    s = _exact(op, arg)
+    if s is not None:
+        return {(a + b)[-2:] for a in before for b in s} if before is not None and len(before) * len(s) <= _MOST else {b[-2:] for b in s} if all(s) else None
+    if op is sre.SUBPATTERN:
+        own = _tails(arg[-1])
+    elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+        own = _tails(arg[2])
+        if own is not None and arg[0] == 0:
+            own = own | before if before is not None and all(before) else None
+    else:
+        own = None
+    return own if own is not None and len(own) <= 8 else None
+
+
 def _query_seq(seq) -> tuple:
     parts, run = [], {""}
 
@@ -187,9 +212,11 @@ def _query_seq(seq) -> tuple:
             run = {a + b for a in run for b in s}
             continue
         flush()
-        run = s if s is not None else {""}
         if s is None:
             parts.append(_query(op, arg))
+            run = _tails_after({r[-2:] for r in run}, op, arg) or {""}
+        else:
+            run = s
     flush()
     return _both(parts)
 
@@ -239,6 +266,22 @@ def trigram_postings(texts: list[str]) -> list[np.ndarray]:
 
 
 _INDEX = {g: i for i, g in enumerate(_VOCABULARY)}
+#: Characters of a chunk at least; it goes on to the end of its line. What a pattern requires lies within a chunk and the one after it, but
+#: for FAR patterns, in which any number of parts may stand between: these need their trigrams somewhere in the text.
+CHUNK = 2048
+FAR = frozenset(["cookie"])
+
+
+def chunk_bounds(text: str) -> list[int]:
+    """Where the chunks of a text begin, and its end."""
+    out, at = [0], CHUNK
+    while at < len(text):
+        at = text.find("\n", at) + 1
+        if at <= 0 or at >= len(text):
+            break
+        out.append(at)
+        at += CHUNK
+    return [*out, len(text)]
 
 
 def _candidates(q: tuple, postings: list[np.ndarray], n: int) -> np.ndarray:
@@ -279,12 +322,29 @@ def find_secrets(texts: list[str]) -> list[list[tuple[int, int, str]]]:
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     if not texts:
         return found
-    postings = trigram_postings(texts)
+    bounds = [chunk_bounds(t) for t in texts]
+    of = np.repeat(np.arange(len(texts)), [len(b) - 1 for b in bounds])  # text of each chunk
+    first = np.concatenate(([0], np.cumsum([len(b) - 1 for b in bounds])))
+    postings = trigram_postings([t[a:b] if len(bs) > 2 else t for t, bs in zip(texts, bounds) for a, b in zip(bs, bs[1:])])
+    near = []  # chunks which, together with the next of their text, hold a trigram; none crosses a line end
+    for p in postings:
+        q = p[p > 0] - 1
+        q = q[of[q] == of[q + 1]] if len(of) > 1 else q[:0]
+        near.append(np.union1d(p, q))
+    far = [np.unique(of[p]) for p in postings]
     for name, pattern, kind, q in _COMPILED:
-        for i in _candidates(q, postings, len(texts)):
+        if name in FAR:
+            places = [(i, 0, len(texts[i])) for i in _candidates(q, far, len(texts))]
+        else:
+            places = [(of[c], bounds[of[c]][c - first[of[c]]], bounds[of[c]][c - first[of[c]] + 1]) for c in _candidates(q, near, len(of))]
+        last, at = -1, 0
+        for i, begin, end in places:
             text = texts[i]
-            for m in pattern.finditer(text):
+            at = begin if i != last else max(at, begin)
+            last = i
+            while at <= end and (m := pattern.search(text, at)) and (m.start() < end or end == len(text)):
                 a, b = _value_span(m)
+                at = m.end() if m.end() > m.start() else m.end() + 1
                 if (_pem_is_key(text, a, b) if kind == "pem" else _real(kind, text[a:b])):
                     found[i].append((a, b, name))
                     while n := _NEXT_PIECE.match(text, b):  # goes on in the next string
@@ -303,6 +363,9 @@ def find_secrets(texts: list[str]) -> list[list[tuple[int, int, str]]]:
     return found
 
 
+_LAST_LINE = re.compile(r"(?:\s|\\[nr]|['\"`+,;>#|*])*[A-Za-z0-9+/]{1,11}={0,2}(?=(?:\s|\\[nr]|['\"`+,;>#|*])*-----END )")
+
+
 def _hide(text: str, spans: list[tuple[int, int, str]]) -> str:
     """The text with the values masked; of a key block only the body's runs are masked, so lines, quotes and escapes stay."""
     out, at = [], 0
@@ -310,7 +373,9 @@ def _hide(text: str, spans: list[tuple[int, int, str]]) -> str:
         out.append(text[at:a])
         if name == "pem":
             head = text.index("-----", a + 5) + 5
-            out += [text[a:head], re.sub(r"(\\[nr])|[A-Za-z0-9+/=]{4,}", lambda m: m[1] or MASK, text[head:b])]
+            last = _LAST_LINE.match(text, b)  # the last line of a body may be short
+            b = last.end() if last else b
+            out += [text[a:head], re.sub(r"(\\[nr])|[A-Za-z0-9+/=]{2,}", lambda m: m[1] or MASK, text[head:b])]
         else:
             out.append(MASK)
         at = b
@@ -351,27 +416,84 @@ def redact_texts(texts: DataFrame) -> DataFrame:
     return spread(rows).mapInPandas(_mask, "row_key string, pos long, credentials long, redacted_text string")
 
 
-def redact_chunks(chunks: DataFrame) -> DataFrame:
+_BEGIN_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_END_KEY = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_BODY_LINE = re.compile(r"(?=.{20}|.*=$|.*\d|.*[a-z][A-Z])[A-Za-z0-9+/]{3,}={0,2}|(?:Proc-Type|DEK-Info|Comment|Version|Hash): .*")
+_TOKEN_RUN = re.compile(r"[A-Za-z0-9+/=._~-]{4,}")
+
+
+def _is_body(text: str) -> bool:
+    """Whether a text can stand inside a key block: lines of base64 or of a block's own header, and blank ones."""
+    lines = [x.strip() for x in re.split(r"\n|\\n", text)]
+    return any(lines) and all(not x or _BODY_LINE.fullmatch(x) for x in lines)
+
+
+_STATE = "artifact_id string, stream string, seq long, credentials long, redacted_text string, open_key boolean, ends_key boolean, body boolean, open_token boolean, run boolean"
+
+
+def _mask_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        texts = b["text"].fillna("").tolist()
+        rows = []
+        for artifact, stream, seq, text, t, spans in zip(b["artifact_id"], b["stream"], b["seq"], b["text"], texts, find_secrets(texts)):
+            begin = None
+            for begin in _BEGIN_KEY.finditer(t):
+                pass
+            rest = t[begin.end() :] if begin else ""
+            open_key = begin is not None and not _END_KEY.search(rest) and (not rest.strip() or _is_body(rest))
+            end = _END_KEY.search(t)
+            ends_key = end is not None and (not t[: end.start()].strip() or _is_body(t[: end.start()]))
+            run = _TOKEN_RUN.match(t)
+            # a value that ends where the chunk ends may go on in the next one
+            open_token = bool(spans) and spans[-1][1] == len(t) and spans[-1][2] != "pem" and _TOKEN_RUN.fullmatch(t[spans[-1][0] : spans[-1][1]]) is not None
+            rows.append((artifact, stream, seq, sum(x[2] != "more" for x in spans), _hide(t, spans) if spans else text, open_key, ends_key, _is_body(t), open_token, run is not None and run.end() == len(t)))
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in _STATE.split(", ")])
+
+
+def _mask_inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Mask what belongs to a credential that began in a chunk before: a key's body up to its end, or a token's next run."""
+    for b in batches:
+        out = []
+        for text, key in zip(b["redacted_text"], b["in_key"]):
+            if key:
+                end = _END_KEY.search(text)
+                k = end.start() if end else len(text)
+                out.append("".join(re.sub(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{3,}", MASK, x) if not re.match(r"\\n|\s*[A-Z][A-Za-z-]+: ", x) else x for x in re.split(r"(\\n|\n)", text[:k])) + text[k:])
+            else:
+                out.append(_TOKEN_RUN.sub(MASK, text, count=1) if _TOKEN_RUN.match(text) else text)
+        yield b.assign(redacted_text=out).drop(columns=["in_key"])
+
+
+def redact_chunks(chunks: DataFrame, block: int = 4096) -> DataFrame:
     """Rows (artifact_id, stream, seq, redacted_text, credentials) of output chunks, also where a credential goes on in the following chunks of its stream.
 
-    Headers and footers of key blocks, and tokens that end a chunk, are few; only these are paired within their stream, and the chunks
-    between are found by an equi-join on their places. A row stored twice comes out twice. Null texts stay null.
+    A key block is open from a chunk whose text ends inside it to its END, or to the first chunk that is no body of a key, however many lines
+    a chunk has; a token that ends where its chunk ends is followed through chunks that are one run of its characters. Both states come from
+    running maxima over the places of chunks in their stream, in two levels, so a stream of any length is spread over tasks. A row stored
+    twice comes out once. Null texts stay null; rows without artifact_id or seq stand alone.
     """
-    rows = chunks.select("artifact_id", "stream", "seq", F.col("chunk_text").alias("text")).withColumn("row_key", F.concat_ws("\x1f", "artifact_id", "stream", "seq"))
-    done = redact_texts(rows.select("row_key", F.col("seq").alias("pos"), "text"))
-    begins = F.col("text").rlike(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----\s*$")
-    ends = F.col("text").rlike(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-    w = Window.partitionBy("artifact_id", "stream").orderBy("seq")
-    marks = rows.filter(begins | ends).select("artifact_id", "stream", "seq", begins.alias("b")).distinct()
-    blocks = marks.withColumn("to", F.lead("seq").over(w)).withColumn("b2", F.lead("b").over(w)).filter("b and not b2")
-    inside = blocks.select("artifact_id", "stream", F.explode(F.sequence(F.col("seq") + 1, F.col("to") - 1)).alias("seq"), F.lit("^[A-Za-z0-9+/=]+\\s*$").alias("is")).filter("seq > 0")
-    opened = rows.filter(F.col("text").rlike(r"(?i)(?:bearer|basic|sk-|token|password)\s*\S{8,}$") & ~F.col("text").rlike(r"\s$")).select("artifact_id", "stream", (F.col("seq") + 1).alias("seq"), F.lit("^[A-Za-z0-9+/=._-]{4,}\\s*$").alias("is"))
-    more = inside.unionByName(opened).groupBy("artifact_id", "stream", "seq").agg(F.min("is").alias("is"))
-    keyed = rows.select("row_key", "artifact_id", "stream", "seq").distinct().join(more, ["artifact_id", "stream", "seq"], "inner").select("row_key", "is")
-    out = done.join(keyed, "row_key", "left")
-    body = F.coalesce(F.col("redacted_text").rlike(r"^[A-Za-z0-9+/=._-]+\s*$") & F.col("is").isNotNull(), F.lit(False))
-    parts = F.split("row_key", "\x1f")
-    return out.select(
-        parts[0].alias("artifact_id"), F.when(F.size(parts) > 2, parts[1]).alias("stream"), F.col("pos").alias("seq"), "credentials",
-        F.when(body, F.regexp_replace("redacted_text", r"^\S+", MASK)).otherwise(F.col("redacted_text")).alias("redacted_text"),
-    )
+    cols = ["artifact_id", "stream", "seq"]
+    rows = chunks.select("artifact_id", "stream", F.col("seq").cast("long").alias("seq"), F.col("chunk_text").alias("text"))
+    done = cut(spread(rows).mapInPandas(_mask_chunks, _STATE))
+    slim = done.filter("artifact_id is not null and seq is not null").groupBy(*cols).agg(*[F.max(x).alias(x) for x in ("open_key", "ends_key", "body", "open_token", "run")])
+    # the two streams share one seq: places within a stream
+    slim = cut(running_sum(slim, ["artifact_id", "stream"], "seq", [], F.lit(1), "k", block))
+    key_on = F.when(F.col("open_key"), F.col("k"))
+    key_off = F.when(~F.col("open_key") & (F.col("ends_key") | ~F.col("body")), F.col("k"))
+    run_on = F.when(F.col("open_token"), F.col("k"))
+    run_off = F.when(~F.col("open_token") & ~F.col("run"), F.col("k"))
+    marks = slim.select(*cols[:2], F.lit(None).cast("long").alias("seq"), (F.col("k") + 1).alias("k"), F.lit(0).alias("asks"), key_on.alias("a"), key_off.alias("b"), run_on.alias("c"), run_off.alias("d"), F.lit(None).cast("boolean").alias("fits"))
+    null = F.lit(None).cast("long")
+    asks = slim.select(*cols, "k", F.lit(1).alias("asks"), null.alias("a"), null.alias("b"), null.alias("c"), null.alias("d"), (F.col("ends_key") | F.col("body")).alias("fits"))
+    state = marks.unionByName(asks)
+    for x in "abcd":
+        state = running_max(state, cols[:2], "k", ["asks"], F.col(x), f"last_{x}", block)
+    inside = state.filter("asks = 1").select(
+        *cols, (F.col("fits") & F.coalesce(F.col("last_a") > F.coalesce("last_b", F.lit(0)), F.lit(False))).alias("in_key"), F.coalesce(F.col("last_c") > F.coalesce("last_d", F.lit(0)), F.lit(False)).alias("in_token")
+    ).filter("in_key or in_token")
+    inside = cut(inside.select(F.col("artifact_id").alias("_a"), F.col("stream").alias("_s"), F.col("seq").alias("_q"), "in_key"))
+    once = done.dropDuplicates(cols).select(*cols, "redacted_text", "credentials")
+    same = (F.col("artifact_id") == F.col("_a")) & F.col("stream").eqNullSafe(F.col("_s")) & (F.col("seq") == F.col("_q"))
+    met = once.join(inside, same).select(*cols, "redacted_text", "credentials", "in_key")
+    rest = once.join(inside, same, "left_anti")
+    return rest.unionByName(met.mapInPandas(_mask_inside, "artifact_id string, stream string, seq long, redacted_text string, credentials long"))
