@@ -363,7 +363,7 @@ def find_secrets(texts: list[str]) -> list[list[tuple[int, int, str]]]:
     return found
 
 
-_LAST_LINE = re.compile(r"(?:\s|\\[nr]|['\"`+,;>#|*])*[A-Za-z0-9+/]{1,11}={0,2}(?=(?:\s|\\[nr]|['\"`+,;>#|*])*-----END )")
+_LAST_LINE = re.compile(r"(?:\s|\\[nr]|['\"`+,;>#|*])*[A-Za-z0-9+/]{1,11}={0,2}(?=(?:\s|\\[nr]|['\"`+,;>#|*])*(?:-----END |\Z))")
 
 
 def _hide(text: str, spans: list[tuple[int, int, str]]) -> str:
