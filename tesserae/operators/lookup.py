@@ -27,6 +27,14 @@ def keyed_lookup(rows: DataFrame, per_key: DataFrame, key: str, count: str, hot_
     return by_broadcast.unionByName(by_shuffle)
 
 
+def keyed_rest(rows: DataFrame, per_key: DataFrame, key: str, count: str, hot_rows: int = HOT_ROWS, rows_at_most: int | None = None) -> DataFrame:
+    """The rows that keyed_lookup finds nothing for, with the same safety for hot keys; rows with a null key are among them."""
+    if rows_at_most is not None and rows_at_most < hot_rows:
+        return rows.join(per_key.select(key), key, "left_anti")
+    hot, cold = per_key.filter(F.col(count) >= hot_rows).select(key), per_key.filter(F.col(count) < hot_rows).select(key)
+    return rows.join(F.broadcast(hot), key, "left_anti").join(cold, key, "left_anti")
+
+
 def salted_join(rows: DataFrame, others: DataFrame, key: str, salt_by: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Inner join on `key` where both sides may hold a key many times.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.runtime import table
-from tesserae.operators.redelivery import redundant_deliveries, unique_deliveries
+from tesserae.operators.redelivery import delivery_changes, redundant_deliveries, unique_deliveries
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,12 @@ def p1_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p1_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What brings a store of the deliveries with even numbers up to date with those of odd numbers."""
+    rows = table(spark, sf_dir, "usage_deliveries")
+    return delivery_changes(rows.filter("delivery_id % 2 <> 0"), rows.filter("delivery_id % 2 = 0"))
+
+
 _DROPPED = r"""
 with recursive ids as (
   select delivery_id, delivered_at, repository_id as r,
@@ -47,8 +53,11 @@ with recursive ids as (
 ), dropped as (select x as delivery_id from best where kept <> x)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p1_by_source": p1_by_source}
+QUERIES = {"p1_found": p1_found, "p1_kept": p1_kept, "p1_by_source": p1_by_source, "p1_stored": p1_stored}
 SQL = {
+    "p1_stored": _DROPPED
+    + """select delivery_id, case when delivery_id % 2 = 0 then 'retract' else 'add' end as change from usage_deliveries
+where (delivery_id % 2 = 0) = (delivery_id in (select delivery_id from dropped))""",
     "p1_found": _DROPPED + "select delivery_id from dropped",
     "p1_kept": _DROPPED + "select delivery_id, repository_id, delivered_at, total_tokens from usage_deliveries where delivery_id not in (select delivery_id from dropped)",
     "p1_by_source": _DROPPED

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators.components import components
-from tesserae.operators.redelivery import redundant_deliveries, unique_deliveries
+from tesserae.operators.redelivery import delivery_changes, redundant_deliveries, unique_deliveries
 
 SCHEMA = "delivery_id long, repository_id string, event_id string, correlation_id string, delivered_at timestamp, u string, m string, p string, k string, n long, total string"
 
@@ -75,6 +75,25 @@ def test_stored_rows_count_and_kept_rows_are_whole(spark):
     assert unique_deliveries(old).columns[0] == "delivery_id" and set(unique_deliveries(old).columns) == set(old.columns)
 
 
+@pytest.mark.parametrize("hot_rows", [1_000_000, 3])
+def test_kept_rows_and_changes(spark, hot_rows):
+    rows = made(3, 300, 90)
+    df = spark.createDataFrame(rows, SCHEMA)
+    gone = brute(rows)
+    kept = unique_deliveries(df, hot_rows=hot_rows)
+    assert kept.columns == df.columns and sorted((tuple(r) for r in kept.collect()), key=repr) == sorted((r for r in rows if r[0] not in gone), key=repr)
+    got = {(r[0], r[1]) for r in delivery_changes(df.filter("delivery_id % 3 = 0"), df.filter("delivery_id % 3 <> 0"), hot_rows).collect()}
+    assert got == {(r[0], "add") for r in rows if r[0] % 3 == 0 and r[0] not in gone} | {(d, "retract") for d in gone if d % 3}
+
+
+def test_a_stored_copy_that_is_later_is_retracted(spark):
+    new = spark.createDataFrame([(2, "a", hexid(1), None, datetime(2026, 1, 1), "", "", "", "", 0, "")], SCHEMA)
+    old = spark.createDataFrame([(-1, "a", hexid(1), None, datetime(2026, 1, 2), "", "", "", "", 0, ""), (3, "a", hexid(1), None, None, "", "", "", "", 0, "")], SCHEMA)
+    assert {tuple(r) for r in delivery_changes(new, old).collect()} == {(2, "add"), (-1, "retract"), (3, "retract")}
+    assert [r["delivery_id"] for r in unique_deliveries(new, old).collect()] == [2] and unique_deliveries(old, new).count() == 0
+    assert delivery_changes(new.filter("false"), new.filter("false")).count() == 0
+
+
 def test_empty(spark):
     assert redundant_deliveries(spark.createDataFrame([], SCHEMA)).count() == 0
 
