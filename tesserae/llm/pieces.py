@@ -1,9 +1,9 @@
 """Splitting oversized items at natural boundaries, with overlap.
 
-Method: structure-tree packing. The lines of an item are nodes of a tree that headings, blank lines, indentation, list markers and the
-beginnings of declarations span; a boundary has the level of the node it begins. Siblings are merged up to the limit, and only a node
-that is larger than the limit by itself is entered. Lines that exceed the limit alone are cut after sentences, separators, blanks, and
-in the last resort between characters.
+Method: structure-tree packing. The lines of an item are parsed into a tree by headings, blank lines, indentation, list markers, markup and
+the beginnings of declarations. From the leaves up, the subtrees of siblings are merged to the limit; a node that fits is one block, and
+only a node that is larger by itself is divided into the blocks of its children. Lines that exceed the limit alone are cut after sentences,
+separators, blanks, and in the last resort between characters.
 """
 
 from __future__ import annotations
@@ -25,8 +25,12 @@ _DECLARES = re.compile(r"(?:export|import|function|class|interface|type|enum|con
 _WITHIN = [re.compile(r"(?<=[.!?])\s+(?=\S)"), re.compile(r"(?<=[;}])(?=\S)|(?<=[;,}])\s+(?=\S)"), re.compile(r"(?<=,)(?=\S)"), re.compile(r"(?<=\s)(?=\S)")]
 
 
+#: Levels of lines that never begin a node of their own, above every indentation: closing lines, comments' continuations, blank lines, parts of a line.
+_CLOSES, _CONTINUES, _EMPTY, _PART = (10**9 + k for k in range(4))
+
+
 def _levels(lines: list[str], marked: bool) -> list[int]:
-    """Level of the boundary before each line; a smaller one begins a larger node."""
+    """Level of the node that each line begins; one with a smaller level holds those after it with greater ones."""
     out = []
     blank, comment = True, False
     fence = False
@@ -36,15 +40,15 @@ def _levels(lines: list[str], marked: bool) -> list[int]:
         indent += 3 * s[:indent].count("\t")
         m = _HEADING.match(body) if marked and not fence and indent < 4 else None
         if not body:
-            level = 90  # a blank line stays with what is before it
+            level = _EMPTY  # a blank line stays with what is before it
         elif m:
             level = len(m[1])
         elif _CLOSER.match(body):
-            level = 80
+            level = _CLOSES
         elif comment and not blank:
-            level = 70  # a comment or decorator stays with what follows
+            level = _CONTINUES  # a comment or decorator stays with what follows
         else:
-            level = 10 + 4 * min(indent // 2, 10) + (0 if blank else 1 if _DECLARES.match(body) else 2 if _ITEM.match(body) else 3)
+            level = 10 + 4 * indent + (0 if blank else 1 if _DECLARES.match(body) else 2 if _ITEM.match(body) else 3)
         out.append(level)
         if marked and body.startswith("```"):
             fence = not fence
@@ -53,6 +57,47 @@ def _levels(lines: list[str], marked: bool) -> list[int]:
     return out
 
 
+def _children(levels: list[int]) -> list[list[int]]:
+    """The tree over units: children of each unit, and of the root in the last place."""
+    out: list[list[int]] = [[] for _ in range(len(levels) + 1)]
+    path = [len(levels)]
+    for i, level in enumerate(levels):
+        while len(path) > 1 and levels[path[-1]] >= level:
+            path.pop()
+        out[path[-1]].append(i)
+        path.append(i)
+    return out
+
+
+def _blocks(levels: list[int], upto: list[int], room: int) -> list[int]:
+    """Where blocks begin: from the leaves up, siblings merged as far as they fit; what does not fit hands its parts to its parent."""
+    n = len(levels)
+    children = _children(levels)
+    end = [n] * (n + 1)
+    blocks: list[list[int]] = [[] for _ in range(n + 1)]
+    for c in children:
+        for x, y in zip(c, c[1:]):
+            end[x] = y
+    for i, c in enumerate(children[:-1]):  # parents stand before their children
+        if c:
+            end[c[-1]] = end[i]
+    for i in [*range(n - 1, -1, -1), n]:
+        begin, stop = (0, n) if i == n else (i, end[i])
+        if i < n and upto[stop] - upto[begin] <= room:
+            blocks[i] = [i]
+            continue
+        parts = [] if i == n else [i]
+        for c in children[i]:
+            parts += blocks[c]
+            blocks[c] = []
+        merged: list[int] = []
+        for at, to in zip(parts, [*parts[1:], stop]):
+            if not merged or upto[to] - upto[merged[-1]] > room:
+                merged.append(at)
+        blocks[i] = merged
+    return blocks[n]
+
+
 def _cut_line(text: str, room: int) -> list[str]:
     """A line of more than `room` bytes in parts that have at most so many, cut at the best places there are."""
     parts = [text]
@@ -85,10 +130,13 @@ def _cut_line(text: str, room: int) -> list[str]:
             k = room
             while k > 0 and raw[k] & 0xC0 == 0x80:
                 k -= 1
-            k = k or room  # a limit below one character's size cannot be kept whole
-            out.append(raw[:k].decode("utf-8", "ignore"))
+            if not k:  # a character that is larger than the limit stays whole
+                k = room + 1
+                while k < len(raw) and raw[k] & 0xC0 == 0x80:
+                    k += 1
+            out.append(raw[:k].decode())
             raw = raw[k:]
-        out.append(raw.decode("utf-8", "ignore"))
+        out.append(raw.decode())
     return [p for p in out if p]
 
 
@@ -96,7 +144,8 @@ def split_item(text: str, max_bytes: int, overlap_lines: int, marked: bool = Fal
     """Pieces (start_line, end_line, overlap, overlap_bytes, text) of an item, each of at most max_bytes UTF-8 bytes.
 
     A piece begins with the last `overlap_lines` whole lines of the piece before it, or as many of them as leave room for something
-    new; `overlap` tells how many. The pieces without their overlap are the item. An item within the limit is one piece.
+    new; `overlap` tells how many. The pieces without their overlap are the item. An item within the limit is one piece; a character
+    that is larger than the limit stays whole and is the only thing to exceed it.
     """
     if len(text.encode()) <= max_bytes:
         return [(first_line, first_line + text.count("\n") - (text.endswith("\n") and len(text) > 1), 0, 0, text)]
@@ -114,7 +163,7 @@ def split_item(text: str, max_bytes: int, overlap_lines: int, marked: bool = Fal
         for k, part in enumerate(_cut_line(s, max_bytes)):
             unit.append(part)
             line.append(i)
-            level.append(100 if k else lv)
+            level.append(_PART if k else lv)
     size = [len(u.encode()) for u in unit]
     upto = [0]
     for n in size:
@@ -122,9 +171,6 @@ def split_item(text: str, max_bytes: int, overlap_lines: int, marked: bool = Fal
     whole = [(i == 0 or line[i - 1] != line[i]) and (i + 1 == len(unit) or line[i + 1] != line[i]) for i in range(len(unit))]
     lead = sum(sorted(size, reverse=True)[:overlap_lines])  # room that an overlap may take
     room = max_bytes - min(lead, max_bytes // 3)
-    cuts: list[int] = []  # where pieces begin
-    begin = 0  # of the open piece
-    limit = max_bytes  # of its new part
 
     def overlap_of(i: int, need: int) -> tuple[int, int]:
         """(number, bytes) of the lines before unit i that are repeated if `need` bytes follow."""
@@ -134,26 +180,14 @@ def split_item(text: str, max_bytes: int, overlap_lines: int, marked: bool = Fal
             k += 1
         return k, got
 
-    def start(i: int, need: int) -> None:
-        nonlocal begin, limit
-        cuts.append(i)
-        begin, limit = i, max_bytes - overlap_of(i, need)[1]
-
-    todo: list[tuple[int, int]] = [(0, len(unit))]
-    while todo:
-        a, b = todo.pop()
-        n = upto[b] - upto[a]
-        if upto[b] - upto[begin] <= limit:
-            continue  # merged with its siblings before it
-        if n <= room or b - a == 1:
-            if a > begin:
-                start(a, n)
-            if n <= limit or b - a == 1:
-                continue
-        # an oversized node: its children begin at the strongest boundaries within
-        top = min(level[a + 1 : b])
-        at = [a, *[i for i in range(a + 1, b) if level[i] == top], b]
-        todo.extend(reversed(list(zip(at, at[1:]))))
+    # a piece may take more blocks than the merge foresaw where its overlap is short
+    starts = _blocks(level, upto, room)
+    cuts: list[int] = []
+    begin, limit = 0, max_bytes
+    for at, to in zip(starts, [*starts[1:], len(unit)]):
+        if upto[to] - upto[begin] > limit and at > begin:
+            cuts.append(at)
+            begin, limit = at, max_bytes - overlap_of(at, upto[to] - upto[at])[1]
     out: list[tuple[int, int, int, int, str]] = []
     for a, b in zip([0, *cuts], [*cuts, len(unit)]):
         k, got = overlap_of(a, upto[b] - upto[a]) if a else (0, 0)

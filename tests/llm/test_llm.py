@@ -166,6 +166,22 @@ def test_pieces_cut_at_headings_and_functions():
     assert all(t.encode()[kb:].decode().startswith("function") for *_, kb, t in pieces.split_item(code, 220, 2))
 
 
+def test_structure_tree_is_packed_from_the_leaves():
+    text = "# A\n\none\n\n## B\n\n- x\n  - y\n- z\n\n# C\n\nlast\n"
+    lines = text.splitlines(keepends=True)
+    levels = pieces._levels(lines, True)
+    tree = pieces._children(levels)
+    assert [lines[i] for i in tree[-1]] == ["# A\n", "# C\n"] and "## B\n" in [lines[i] for i in tree[0]]
+    deep = "".join(" " * (2 * d) + f"if a{d}:\n" for d in range(40))  # deeper than any fixed number of levels
+    tree = pieces._children(pieces._levels(deep.splitlines(keepends=True), False))
+    assert all(tree[d] == [d + 1] for d in range(39))
+    # an oversized function is divided, its small neighbours are not
+    code = "function a() {\n  x();\n}\n\nfunction big() {\n" + "  if (p) {\n    y();\n    z();\n  }\n\n" * 12 + "}\n\nfunction b() {\n  x();\n}\n"
+    got = [t.encode()[kb:].decode() for *_, kb, t in pieces.split_item(code, 150, 0)]
+    assert "".join(got) == code and all(len(t) <= 150 for t in got) and all(t.startswith(("function", "  if")) for t in got)
+    assert pieces.split_item("a🙂🙂b", 2, 1)[1][4] == "🙂" and "".join(p[4] for p in pieces.split_item("a🙂🙂b", 2, 0)) == "a🙂🙂b"
+
+
 def test_oversized_items(spark):
     body = "function f() {\n" + "  x();\r\n" * 40 + "}"
     files = spark.createDataFrame([(1, "a.ts", "\n\n" + body + "\r\nend"), (2, "b.ts", None), (3, None, "q" * 700), (4, "c.md", "")], "file_id long, file_path string, file_content string").withColumn("item_id", F.lit(0))
