@@ -27,6 +27,11 @@ def keyed_lookup(rows: DataFrame, per_key: DataFrame, key: str, count: str, hot_
     return by_broadcast.unionByName(by_shuffle)
 
 
+def checked(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """df marked for a broadcast if it has at most so many rows, which is counted first; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def keyed_rest(rows: DataFrame, per_key: DataFrame, key: str, count: str, hot_rows: int = HOT_ROWS, rows_at_most: int | None = None) -> DataFrame:
     """The rows that keyed_lookup finds nothing for, with the same safety for hot keys; rows with a null key are among them."""
     if rows_at_most is not None and rows_at_most < hot_rows:
