@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.runtime import cut, spread
 from tesserae.functions.tokens import encoding, ship
+from tesserae.operators.lookup import checked
 
+#: Documents of a slice on average.
+SLICE_ROWS = 4096
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -31,7 +34,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return spread(docs.select("doc_id", "source", "text")).mapInPandas(count, "doc_id long, source string, tokens long")
 
 
-def mixture(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17, slices: int = 4096, vocabulary: str = VOCABULARY) -> DataFrame:
+def mixture(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17, slices: int | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """Rows (doc_id, source, copy, tokens, finish): the documents of a mixture, each with the number of its use from 1.
 
     targets: source, target_share, max_repeats. Without `budget`, the total is the largest at which every source can reach its share
@@ -41,15 +44,18 @@ def mixture(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed
 
     The order within a source is by a hash of seed and doc_id (ties: equal rows, by tokens), so a run can be repeated. Running sums go
     over two levels, slices of the hash range within a source and rows within a slice: no task holds a whole source, however large.
+    `slices` follows from the number of documents, so that a slice has about SLICE_ROWS of them at every size.
     """
     goal = targets.filter("source is not null and target_share > 0 and max_repeats >= 1").select("source", "target_share", F.col("max_repeats").cast("int").alias("max_repeats")).dropDuplicates(["source"])
     rank = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sized = cut(
-        count_tokens(docs.filter("source is not null and text is not null").join(F.broadcast(goal.select("source")), "source", "left_semi"), vocabulary)
+        count_tokens(docs.filter("source is not null and text is not null").join(checked(goal.select("source")), "source", "left_semi"), vocabulary)
         .filter("tokens > 0")
         .select("doc_id", "source", "tokens", rank.alias("r"))
-        .withColumn("slice", F.floor((F.col("r") / 2.0**64 + 0.5) * slices).cast("int"))
     )
+    if slices is None:
+        slices = max(256, sized.count() // SLICE_ROWS)
+    sized = sized.withColumn("slice", F.floor((F.col("r") / 2.0**64 + 0.5) * slices).cast("int"))
     # at most (sources with a target) x slices rows
     sums = sized.groupBy("source", "slice").agg(F.sum("tokens").alias("t"))
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -61,7 +67,7 @@ def mixture(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed
     limit = F.lit(float(budget)) if budget is not None else F.col("limit")
     totals = totals.select("source", "share", "total", "max_repeats", limit.alias("budget"))
     inside = Window.partitionBy("source", "slice").orderBy("r", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    once = sized.join(offsets, ["source", "slice"]).withColumn("upto", F.col("offset") + F.sum("tokens").over(inside)).join(F.broadcast(totals), "source")
+    once = sized.join(offsets, ["source", "slice"]).withColumn("upto", F.col("offset") + F.sum("tokens").over(inside)).join(checked(totals), "source")
     # a copy is made only if its finish time lies within the budget
     last = F.least(F.col("max_repeats"), (F.floor((F.col("budget") * F.col("share") * (1 + 1e-12) - F.col("upto")) / F.col("total")) + 1).cast("int"))
     copies = once.withColumn("last", last).filter("last >= 1").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("last"))))
@@ -75,7 +81,7 @@ def _truncate(copies: DataFrame, slices: int) -> DataFrame:
     sums = timed.groupBy("s").agg(F.sum("tokens").alias("t"))
     upto = Window.partitionBy().orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("s", F.coalesce(F.sum("t").over(upto), F.lit(0)).alias("start"), "t")
-    placed = timed.join(F.broadcast(starts), "s")
+    placed = timed.join(checked(starts, 10_000_000), "s")
     whole = placed.filter(F.col("start") + F.col("t") <= F.col("budget"))
     inside = Window.partitionBy("s").orderBy("finish", "source", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)
     border = placed.filter((F.col("start") + F.col("t") > F.col("budget")) & (F.col("start") < F.col("budget")))
