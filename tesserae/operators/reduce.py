@@ -1,313 +1,281 @@
-"""Conservative reduction of noisy tool output, nine formats, each with a check of its own that can reject a result.
+"""Conservative reduction of noisy tool output as column expressions, nine formats, each with a check that can reject its result.
 
-A reducer is an object with id, supports, parse, reduce and validate (see Reducer); REDUCERS are tried in order. reduced_outputs applies
-them to a column in Arrow batches.
+A text is one array of lines, and every step a higher-order function over it, so that texts are reduced where they are read: no explode, no
+shuffle, no Python but for one strict look at texts that begin like JSON. A format says how it is recognised, what it makes of the lines, and
+how the result proves that nothing is lost; the check works from the result alone and shares nothing with the step that made it.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from typing import Any, Protocol
+import json
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.redaction import strict_json
 from tesserae.functions.runtime import spread
+from tesserae.functions.text import compact_json, lines_of, not_blank, status_of
+from tesserae.operators.lines import FAILURE, PASSED, SEARCH_HIT
+
+# Forms by which output is recognised, and texts of the reduced forms (fixed values; those of single lines are in lines.py).
+VITEST_RUN, VITEST_LINE = r"(?i)\bTest Files\s+\d|\bRUN\s+v\d|\bvitest\b", r"Tests?\s+\d|[✓×✕]"
+JEST_LINE = r"(?m)^Test Suites:|^Tests:\s+\d|^\s*(?:PASS|FAIL)\s+\S+\.[cm]?[jt]sx?"
+TSC_LINE = r"(?:\(\d+,\d+\)|:\d+:\d+)\s*:?\s*(?:error|warning) TS\d+:"
+ESLINT_LINE = r"\d+:\d+\s+(?:error|warning)\s+.+"
+DIFF_HEAD, DIFF_BODY = r"(?m)^diff --git ", r"(?m)^(?:@@ |Binary files |GIT binary patch)"
+STATUS_LINE = r"(?m)^(?:On branch |## |# branch\.|[ MADRCU?!]{2} .+|[12u?] .+)$"
+OBJECT_IDS = r"^index [0-9a-f]+\.\.[0-9a-f]+(?: \d+)?$"
+REPEATED = r"^\[exact repeated line: (\d+) occurrences; order unchanged\]$"
+REPEATED_TEXT = "[exact repeated line: %s occurrences; order unchanged]"
+GROUPED_TEXT = "%s successful test/suite lines grouped."
+DIFF_TEXT = "Diff evidence; NOT AN APPLYABLE PATCH. Full patch: artifact %s."
+
+
+@dataclass(frozen=True)
+class Text:
+    """The columns of one text: itself, its lines, what kind of JSON it is (null, json, tests or lint), the artifact that holds the original."""
+
+    text: Column
+    lines: Column
+    json: Column
+    artifact: Column
+
+
+@dataclass(frozen=True)
+class Format:
+    """A format: how a text shows it, its reduced form, and whether a form (second argument) still holds the text."""
 
-_BLANK = re.compile(r"[\s﻿]*\Z")
-# Forms by which output is recognised, and texts of the reduced forms (fixed values).
-_FAILS = re.compile(r"^\s*(?:FAIL\b|FAILED\b|[×✕]\s|AssertionError\b|Error:|●\s)")
-_PASSES = re.compile(r"^\s*PASS\s+\S+\.[cm]?[jt]sx?(?:\s|$)|^\s*[✓√✔]\s+.+(?:\(\d+ tests?[^)]*\)|\d+(?:\.\d+)?\s?m?s)\s*$")
-_VITEST = re.compile(r"\bTest Files\s+\d|\bRUN\s+v\d|\bvitest\b", re.I)
-_VITEST_LINE = re.compile(r"Tests?\s+\d|[✓×✕]")
-_JEST = re.compile(r"^Test Suites:|^Tests:\s+\d|^\s*(?:PASS|FAIL)\s+\S+\.[cm]?[jt]sx?", re.M)
-_TSC = re.compile(r"(?:\(\d+,\d+\)|:\d+:\d+)\s*:?\s*(?:error|warning) TS\d+:")
-_ESLINT = re.compile(r"\d+:\d+\s+(?:error|warning)\s+.+")
-_DIFF_HEAD, _DIFF_BODY = re.compile(r"^diff --git ", re.M), re.compile(r"^(?:@@ |Binary files |GIT binary patch)", re.M)
-_STATUS = re.compile(r"^(?:On branch |## |# branch\.|[ MADRCU?!]{2} .+|[12u?] .+)$", re.M)
-_HIT = re.compile(r"^(.*?):(\d+)(?::(\d+))?:(.*)$")
-_OBJECT_IDS = re.compile(r"^index [0-9a-f]+\.\.[0-9a-f]+(?: \d+)?$")
-_REPEAT = re.compile(r"^\[exact repeated line: (\d+) occurrences; order unchanged\]$")
-REPEAT_TEXT = "[exact repeated line: {} occurrences; order unchanged]"
-GROUPED_TEXT = "{} successful test/suite lines grouped."
-DIFF_TEXT = "Diff evidence; NOT AN APPLYABLE PATCH. Full patch: artifact {}."
-
-
-@dataclass
-class Output:
-    """What is to be reduced."""
-
-    text: str
-    format: str | None = None
-    exit_code: int | None = None
-    artifact_id: str | None = None
-    mode: str = "observe"
-    consumer: str = "human"
-    already_reduced: bool = False
-
-
-@dataclass
-class Parsed:
-    text: str
-    lines: list[str]
-    evidence: list[str] = field(default_factory=list)
-    value: Any = None
-    is_json: bool = False
-
-
-class Reducer(Protocol):
     id: str
+    shows: Callable[[Text], Column]
+    reduced: Callable[[Text], Column]
+    holds: Callable[[Text, Column], Column]
 
-    def supports(self, o: Output) -> bool: ...
-    def parse(self, o: Output) -> Parsed | None: ...
-    def reduce(self, p: Parsed, o: Output) -> str: ...
-    def validate(self, p: Parsed, out: str) -> bool: ...
 
+def json_kind(text: Column) -> Column:
+    """'tests' for a test report, 'lint' for a lint report, 'json' for any other object or list, null for what no strict parser reads."""
 
-def _lines(text: str) -> list[str]:
-    return re.split(r"\r?\n", text)
+    def kind(t: str | None) -> str | None:
+        value = strict_json(t) if t is not None else None
+        if isinstance(value, dict):
+            total = value.get("numTotalTests")
+            return "tests" if isinstance(value.get("testResults"), list) and isinstance(total, (int, float)) and not isinstance(total, bool) else "json"
+        if isinstance(value, list):
+            each = [isinstance(x, dict) and isinstance(x.get("filePath"), str) and isinstance(x.get("messages"), list) for x in value]
+            return "lint" if each and all(each) else "json"
+        return None
 
+    @F.pandas_udf("string")
+    def kinds(s: pd.Series) -> pd.Series:
+        return s.map(kind)
 
-def _kept(lines: list[str]) -> list[str]:
-    return [x for x in lines if not _BLANK.match(x)]
+    return kinds(F.when(text.rlike(r"\A\s*[\[{]"), text))
 
 
-def looks_json(text: str) -> bool:
-    return text.lstrip()[:1] in ("[", "{") and strict_json(text) is not None
+# --- steps over arrays of lines
 
 
-def compact_json_text(text: str) -> str:
-    """White space outside strings taken away, byte for byte the same otherwise."""
-    return re.sub(r'("(?:[^"\\]|\\.)*")|\s+', lambda m: m[1] or "", text, flags=re.S)
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once: what stands in the body of a function over an array is else worked out for each entry."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _holds(evidence: list[str], out: str) -> bool:
-    return all(e in out for e in evidence)
+def joined(lines: Column) -> Column:
+    return F.array_join(lines, "\n")
 
 
-def _same_json(original: str, out: str) -> bool:
-    return strict_json(out) is not None and compact_json_text(original) == compact_json_text(out)
+def without_blanks(lines: Column) -> Column:
+    return F.filter(lines, not_blank)
 
 
-@dataclass
-class Format:
-    """A reducer made of functions; evidence defaults to all distinct non-blank lines."""
+def _bounds(lines: Column, starts: Callable[[Column], Column]) -> Column:
+    """Places (from 0) at which `starts` holds, with the number of lines at the end."""
+    return F.concat(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), starts), F.array(F.size(lines)))
 
-    id: str
-    detect: Callable[[str], bool]
-    transform: Callable[[Parsed, Output], str]
-    evidence: Callable[[str], list[str]] = lambda text: list(dict.fromkeys(_kept(_lines(text))))
-    check: Callable[[Parsed, str], bool] = lambda p, out: _holds(p.evidence, out)
-
-    def supports(self, o: Output) -> bool:
-        return o.format == self.id or (o.format is None and self.detect(o.text))
-
-    def parse(self, o: Output) -> Parsed | None:
-        if not self.detect(o.text):  # a given format is a hint, not a permission
-            return None
-        j = looks_json(o.text)
-        return Parsed(o.text, _lines(o.text), self.evidence(o.text), strict_json(o.text) if j else None, j)
-
-    def reduce(self, p: Parsed, o: Output) -> str:
-        return self.transform(p, o)
-
-    def validate(self, p: Parsed, out: str) -> bool:
-        return self.check(p, out)
-
-
-def _without_blanks(p: Parsed, o: Output) -> str:
-    return "\n".join(_kept(p.lines))
-
-
-def _passing(text: str) -> set[int]:
-    failing, out = False, set()
-    for i, line in enumerate(_lines(text)):
-        failing = failing or bool(_FAILS.match(line))
-        if not failing and _PASSES.match(line):
-            out.add(i)
-    return out
-
-
-def _tests(p: Parsed, o: Output) -> str:
-    if p.is_json:
-        return compact_json_text(p.text)
-    passing = _passing(p.text)
-    if len(passing) < 2:
-        return _without_blanks(p, o)
-    return "\n".join([GROUPED_TEXT.format(len(passing)), *[x for i, x in enumerate(p.lines) if i not in passing and not _BLANK.match(x)]])
+
+def _spans(bounds: Column) -> Column:
+    """struct(a, n) of each stretch between neighbouring places."""
+    return bound(bounds, lambda b: F.transform(F.slice(b, 1, F.size(b) - 1), lambda a, k: F.struct(a.alias("a"), (F.get(b, k + 1) - a).alias("n"))))
+
+
+def passing_lines(lines: Column) -> Column:
+    """Places of passing lines before the first failure."""
+    failure = F.array_position(F.transform(lines, lambda x: x.rlike(FAILURE)), True)
+    end = bound(failure, lambda f: F.when(f == 0, F.size(lines)).otherwise(f - 1).cast("int"))
+    return bound(end, lambda e: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i < e) & F.get(lines, i).rlike(PASSED)))
+
+
+def grouped_tests(lines: Column) -> Column:
+    """Two passing lines or more as their number, other lines as they are, blank ones left out."""
+    rest = lambda passing: bound(F.get(passing, F.size(passing) - 1), lambda last: F.filter(lines, lambda x, i: not_blank(x) & ((i > last) | ~x.rlike(PASSED))))
+    grouped = lambda passing: F.concat(F.array(F.format_string(GROUPED_TEXT, F.size(passing).cast("string"))), rest(passing))
+    return bound(passing_lines(lines), lambda passing: F.when(F.size(passing) > 1, grouped(passing)).otherwise(without_blanks(lines)))
+
+
+def collapsed_runs(lines: Column) -> Column:
+    """Each run of equal lines as the line and, from two on, how often it stands there."""
+    spans = _spans(_bounds(lines, lambda i: (i == 0) | ~F.get(lines, i).eqNullSafe(F.get(lines, i - 1))))
+    return F.flatten(F.transform(spans, lambda s: F.when(s["n"] > 1, F.array(F.get(lines, s["a"]), F.format_string(REPEATED_TEXT, s["n"].cast("string")))).otherwise(F.array(F.get(lines, s["a"])))))
+
+
+def expanded_lines(lines: Column) -> Column:
+    """The inverse of collapsed_runs: a line that tells a number of occurrences repeats the line before it."""
+    times = lambda x: F.try_to_number(F.regexp_extract(x, REPEATED, 1), F.lit("999999999")).cast("int")
+    again = lambda x, i: F.when((i > 0) & x.rlike(REPEATED), F.array_repeat(F.get(lines, i - 1), F.greatest(times(x) - 1, F.lit(0)))).otherwise(F.array(x))
+    return F.flatten(F.transform(lines, again))
+
+
+def _hit(x: Column) -> Column:
+    """line[:column]:text of a search hit."""
+    column = F.regexp_extract(x, SEARCH_HIT, 3)
+    return F.concat(F.regexp_extract(x, SEARCH_HIT, 2), F.when(column != "", F.concat(F.lit(":"), column)).otherwise(""), F.lit(":"), F.regexp_extract(x, SEARCH_HIT, 4))
+
+
+def hits_by_path(lines: Column) -> Column:
+    """Search hits under their paths, paths in the order in which they come first: two sorts, however many paths there are."""
+    hits = F.array_sort(F.transform(F.filter(lines, lambda x: x != ""), lambda x, i: F.struct(F.regexp_extract(x, SEARCH_HIT, 1).alias("path"), i.alias("i"), _hit(x).alias("hit"))))
+
+    def groups(h: Column) -> Column:
+        spans = _spans(_bounds(h, lambda i: (i == 0) | (F.get(h, i)["path"] != F.get(h, i - 1)["path"])))
+        rows = lambda s: F.concat(F.array(F.get(h, s["a"])["path"]), F.transform(F.slice(h, s["a"] + 1, s["n"]), lambda x: F.concat(F.lit("  "), x["hit"])))
+        return F.flatten(F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(F.get(h, s["a"])["i"].alias("i"), rows(s).alias("rows")))), lambda g: g["rows"]))
+
+    return bound(hits, groups)
 
 
-def _test_evidence(text: str) -> list[str]:
-    if looks_json(text):
-        return []
-    passing = _passing(text)
-    return list(dict.fromkeys(_kept([x for i, x in enumerate(_lines(text)) if i not in passing])))
+def hits_again(lines: Column) -> Column:
+    """The inverse of hits_by_path, in the order of the paths."""
+    spans = _spans(_bounds(lines, lambda i: ~F.startswith(F.get(lines, i), F.lit("  ")) | (i == 0)))
+    return F.flatten(F.transform(spans, lambda s: F.transform(F.slice(lines, s["a"] + 2, s["n"] - 1), lambda x: F.concat(F.get(lines, s["a"]), F.lit(":"), F.substr(x, F.lit(3))))))
 
 
-def _json_or_lines(p: Parsed, out: str) -> bool:
-    return _same_json(p.text, out) if p.is_json else _holds(p.evidence, out)
+# --- checks
 
 
-def _test_report(text: str) -> bool:
-    v = strict_json(text)
-    return isinstance(v, dict) and isinstance(v.get("testResults"), list) and isinstance(v.get("numTotalTests"), (int, float)) and not isinstance(v.get("numTotalTests"), bool)
+def _no_line_lost(kept: Callable[[Column], Column]) -> Callable[[Text, Column], Column]:
+    """Every line of the text for which `kept` holds stands in the result."""
+    return lambda t, out: F.size(F.array_except(F.filter(t.lines, kept), lines_of(out))) == 0
 
 
-def _lint_report(text: str) -> bool:
-    v = strict_json(text)
-    return isinstance(v, list) and bool(v) and all(isinstance(x, dict) and isinstance(x.get("filePath"), str) and isinstance(x.get("messages"), list) for x in v)
+def _same_json(t: Text, out: Column) -> Column:
+    """Lexically the same value: not one character but blanks outside strings differs."""
+    return compact_json(out) == compact_json(t.text)
 
 
-def _diff(p: Parsed, o: Output) -> str:
-    if not o.artifact_id:
-        return p.text
-    return DIFF_TEXT.format(o.artifact_id) + "\n" + "\n".join(x for x in p.lines if not _OBJECT_IDS.match(x))
+def _json_or(check: Callable[[Text, Column], Column]) -> Callable[[Text, Column], Column]:
+    return lambda t, out: F.when(t.json.isNotNull(), _same_json(t, out)).otherwise(check(t, out))
 
 
-def _hits(p: Parsed, o: Output) -> str:
-    groups: dict[str, list[str]] = {}
-    for line in p.lines:
-        if line:
-            m = _HIT.match(line)
-            if not m:
-                return p.text
-            groups.setdefault(m[1], []).append(f"{m[2]}{':' + m[3] if m[3] else ''}:{m[4]}")
-    return "\n".join(path + "\n" + "\n".join("  " + x for x in found) for path, found in groups.items())
-
-
-def _same_hits(p: Parsed, out: str) -> bool:
-    if out == p.text:
-        return True
-    there: dict[str, list[str]] = {}
-    path = ""
-    for line in out.split("\n"):
-        if line.startswith("  "):
-            there.setdefault(path, []).append(line[2:])
-        else:
-            path = line
-            there[path] = []
-    for line in p.lines:
-        if line:
-            m = _HIT.match(line)
-            key = f"{m[2]}{':' + m[3] if m[3] else ''}:{m[4]}"
-            if key not in there.get(m[1], []):
-                return False
-            there[m[1]].remove(key)
-    return True
-
-
-def _collapse(p: Parsed, o: Output) -> str:
-    out, i = [], 0
-    while i < len(p.lines):
-        n = 1
-        while i + n < len(p.lines) and p.lines[i + n] == p.lines[i]:
-            n += 1
-        out.append(p.lines[i])
-        if n > 1:
-            out.append(REPEAT_TEXT.format(n))
-        i += n
-    return "\n".join(out)
-
-
-def _same_log(p: Parsed, out: str) -> bool:
-    if out == p.text:
-        return True
-    back: list[str] = []
-    for line in out.split("\n"):
-        m = _REPEAT.match(line)
-        if m and back:
-            n = int(m[1])
-            if not 2 <= n <= len(p.lines):
-                return False
-            back += [back[-1]] * (n - 1)
-        else:
-            back.append(line)
-    return back == p.lines
-
-
-def _repeats(text: str) -> bool:
-    x = _lines(text)
-    return any(a and a == b for a, b in zip(x[1:], x))
-
-
-def _evidence_lines(text: str) -> list[str]:
-    return [] if looks_json(text) else list(dict.fromkeys(_kept(_lines(text))))
-
-
-def _patch_evidence(text: str) -> list[str]:
-    return list(dict.fromkeys(_kept([x for x in _lines(text) if not _OBJECT_IDS.match(x)])))
-
-
-def _all_hits(text: str) -> bool:
-    rows = [x for x in _lines(text) if x]
-    return bool(rows) and all(_HIT.match(x) for x in rows)
-
-
-def _nothing(text: str) -> list[str]:
-    return []
-
-
-def _compact(p: Parsed, o: Output) -> str:
-    return compact_json_text(p.text)
-
-
-REDUCERS: list[Reducer] = [
-    Format("vitest", lambda t: _test_report(t) or bool(_VITEST.search(t) and _VITEST_LINE.search(t)), _tests, _test_evidence, _json_or_lines),
-    Format("jest", lambda t: _test_report(t) or bool(_JEST.search(t)), _tests, _test_evidence, _json_or_lines),
-    Format("tsc", lambda t: bool(_TSC.search(t)), _without_blanks),
-    Format("eslint", lambda t: _lint_report(t) or bool(_ESLINT.search(t)), lambda p, o: _compact(p, o) if p.is_json else _without_blanks(p, o), _evidence_lines, _json_or_lines),
-    Format("git-diff", lambda t: bool(_DIFF_HEAD.search(t) and _DIFF_BODY.search(t)), _diff, _patch_evidence),
-    Format("git-status", lambda t: bool(_STATUS.search(t)), _without_blanks),
-    Format("search", _all_hits, _hits, _nothing, _same_hits),
-    Format("json", looks_json, _compact, _nothing, lambda p, out: _same_json(p.text, out)),
-    Format("logs", _repeats, _collapse, _nothing, _same_log),
-]
-
-
-def reduce_output(o: Output, reducers: list[Reducer] = REDUCERS, marker: str | None = None) -> dict[str, Any]:
-    """The output to show and why: reason is reduced, observe_only, no_gain, preservation_failed, unknown_format, already_reduced or
-    machine_consumer_requires_original. Only `reduced` changes the text. `marker` begins texts that were reduced before."""
-    size = len(o.text.encode())
-    out, chosen, reason, valid, candidate = o.text, None, "unknown_format", True, size
-    if o.already_reduced or (marker and o.text.startswith(marker)):
-        reason = "already_reduced"
-    elif o.consumer == "machine":
-        reason = "machine_consumer_requires_original"
-    else:
-        for r in reducers:
-            if not r.supports(o) or (p := r.parse(o)) is None:
-                continue
-            chosen = r.id
-            text = r.reduce(p, o)
-            valid, candidate = r.validate(p, text), len(text.encode())
-            if not valid:
-                reason = "preservation_failed"
-            elif candidate >= size:
-                reason = "no_gain"
-            elif o.mode == "observe":
-                reason = "observe_only"
-            else:
-                out, reason = text, "reduced"
-            break
-    n = len(out.encode())
-    status = "unknown" if o.exit_code is None else "success" if o.exit_code == 0 else "failure"
-    return {"status": status, "reducer_id": chosen or "identity", "reason": reason, "applied": reason == "reduced", "original_bytes": size, "candidate_bytes": candidate, "reduced_bytes": n, "original_tokens": -(-size // 3), "reduced_tokens": -(-n // 3), "valid": valid, "output": out}
-
-
-_SCHEMA = "status string, reducer_id string, reason string, applied boolean, original_bytes long, candidate_bytes long, reduced_bytes long, original_tokens long, reduced_tokens long, valid boolean, output string"
-
-
-def reduced_outputs(df: DataFrame, key: str, text: str, mode: str = "balanced", format: str | None = None) -> DataFrame:
-    """(key, status, reducer_id, reason, applied, sizes, tokens, valid, output) of each text; a null text counts as empty."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [{key: k} | reduce_output(Output(t or "", format=format, mode=mode, artifact_id=str(k))) for k, t in zip(b[key], b[text])]
-            yield pd.DataFrame(rows, columns=[key, *[x.split()[0] for x in _SCHEMA.split(", ")]])
-
-    return spread(df.select(key, F.col(text))).mapInPandas(run, f"{key} {kind}, {_SCHEMA}")
+def _tests_hold(t: Text, out: Column) -> Column:
+    """Every line but passing ones before a failure stands in the result, and the number of those that do not is told."""
+    told = F.coalesce(F.try_to_number(F.regexp_extract(out, r"\A(\d+) successful", 1), F.lit("999999999")).cast("int"), F.lit(0))
+    failure = F.array_position(F.transform(t.lines, lambda x: x.rlike(FAILURE)), True)
+    after = bound(failure, lambda f: F.when(f == 0, F.array().cast("array<string>")).otherwise(F.slice(t.lines, f.cast("int"), F.size(t.lines))))
+    gone = F.array_except(F.filter(t.lines, not_blank), lines_of(out))  # distinct lines
+    may_go = F.forall(gone, lambda x: x.rlike(PASSED)) & (F.size(F.array_intersect(gone, after)) == 0)
+    return may_go & bound(F.size(F.filter(t.lines, lambda x: not_blank(x))) - F.size(F.filter(lines_of(out), not_blank)) + F.when(told > 0, 1).otherwise(0), lambda k: (k <= told))
+
+
+def _json_or_lines(lines: Callable[[Column], Column]) -> Callable[[Text], Column]:
+    return lambda t: F.when(t.json.isNotNull(), compact_json(t.text)).otherwise(joined(lines(t.lines)))
+
+
+def _compacted(t: Text) -> Column:
+    return joined(without_blanks(t.lines))
+
+
+_EVERY_LINE = _no_line_lost(not_blank)
+_GROUPED, _TESTS_HOLD = _json_or_lines(grouped_tests), _json_or(_tests_hold)
+
+#: The formats in the order in which they are tried.
+FORMATS: list[Format] = [
+    Format("vitest", lambda t: (t.json == "tests") | (t.text.rlike(VITEST_RUN) & t.text.rlike(VITEST_LINE)), _GROUPED, _TESTS_HOLD),
+    Format("jest", lambda t: (t.json == "tests") | t.text.rlike(JEST_LINE), _GROUPED, _TESTS_HOLD),
+    Format("tsc", lambda t: t.text.rlike(TSC_LINE), _compacted, _EVERY_LINE),
+    Format("eslint", lambda t: (t.json == "lint") | t.text.rlike(ESLINT_LINE), _json_or_lines(without_blanks), _json_or(_EVERY_LINE)),
+    Format(
+        "git-diff", lambda t: t.text.rlike(DIFF_HEAD) & t.text.rlike(DIFF_BODY),
+        lambda t: F.when(t.artifact.isNull(), t.text).otherwise(joined(F.concat(F.array(F.format_string(DIFF_TEXT, t.artifact)), F.filter(t.lines, lambda x: ~x.rlike(OBJECT_IDS))))),
+        _no_line_lost(lambda x: not_blank(x) & ~x.rlike(OBJECT_IDS)),
+    ),
+    Format("git-status", lambda t: t.text.rlike(STATUS_LINE), _compacted, _EVERY_LINE),
+    Format(
+        "search", lambda t: F.exists(t.lines, lambda x: x != "") & F.forall(t.lines, lambda x: (x == "") | x.rlike(SEARCH_HIT)),
+        lambda t: joined(hits_by_path(t.lines)), lambda t, out: F.array_sort(bound(lines_of(out), hits_again)) == F.array_sort(F.filter(t.lines, lambda x: x != "")),
+    ),
+    Format("json", lambda t: t.json.isNotNull(), lambda t: compact_json(t.text), _same_json),
+    Format("logs", lambda t: F.exists(F.transform(t.lines, lambda x, i: (x != "") & (i > 0) & (x == F.get(t.lines, i - 1))), lambda x: x), lambda t: joined(collapsed_runs(t.lines)), lambda t, out: bound(lines_of(out), expanded_lines) == t.lines),
+]
+
+
+@lru_cache(maxsize=8)
+def _expressions(formats: tuple[Format, ...]) -> tuple[Column, Column, Column]:
+    """(format that a text shows, its reduced form, whether that holds the text) over the columns _t, _l, _json, _a, _only, _id and _made. Expressions
+    belong to no table, so they are put together once; formats that share a step share its expression."""
+    t = Text(F.col("_t"), F.col("_l"), F.col("_json"), F.col("_a"))
+    chosen, made, holds = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    for f in reversed(formats):
+        chosen = F.when((F.col("_only").isNull() | (F.col("_only") == f.id)) & F.coalesce(f.shows(t), F.lit(False)), F.lit(f.id)).otherwise(chosen)
+    for step in dict.fromkeys(f.reduced for f in formats):
+        made = F.when(F.col("_id").isin(*[f.id for f in formats if f.reduced is step]), step(t)).otherwise(made)
+    for check in dict.fromkeys(f.holds for f in formats):
+        holds = F.when(F.col("_id").isin(*[f.id for f in formats if f.holds is check]), check(t, F.col("_made"))).otherwise(holds)
+    return chosen, made, F.coalesce(holds, F.lit(True))
+
+
+def reduced_outputs(
+    df: DataFrame, key: str, text: str, mode: str = "balanced", format: str | None = None, exit_code: str | None = None, artifact: str | None = None,
+    consumer: str = "human", marker: str | None = None, formats: Sequence[Format] = FORMATS,
+) -> DataFrame:
+    """(key, status, reducer_id, reason, applied, sizes, tokens, valid, output) of each text.
+
+    The first of `formats` that a text shows reduces it; a given `format` (a name, or the name of a column) leaves only that one, and only if
+    the text shows it. reason is reduced, observe_only (by mode), no_gain, preservation_failed, unknown_format, already_reduced (the text
+    begins with `marker`) or machine_consumer_requires_original. Only `reduced` changes the text. `exit_code` and `artifact` name columns;
+    without the latter there is no artifact. A null text counts as empty; rows with equal keys stand alone.
+    """
+    only = F.lit(None).cast("string") if format is None else F.col(format) if format in df.columns else F.lit(format)
+    rows = df.select(
+        F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("_t"), only.alias("_only"),
+        (F.col(exit_code).cast("long") if exit_code else F.lit(None).cast("long")).alias("_exit"), (F.col(artifact).cast("string") if artifact else F.lit(None).cast("string")).alias("_a"),
+    )
+    rows = spread(rows).withColumn("_json", json_kind(F.col("_t"))).withColumn("_l", lines_of(F.col("_t")))
+    chosen, made, holds = _expressions(tuple(formats))
+    untouched = F.lit(False) if marker is None else F.startswith("_t", F.lit(marker))
+    rows = rows.select("*", (F.when(~untouched, chosen) if consumer != "machine" else F.lit(None).cast("string")).alias("_id"))
+    rows = rows.select("*", made.alias("_made")).select("*", holds.alias("_valid"))
+    size = F.octet_length("_t").cast("long")
+    candidate = F.coalesce(F.octet_length("_made").cast("long"), size)
+    reason = (
+        F.when(untouched, "already_reduced").when(F.lit(consumer == "machine"), "machine_consumer_requires_original").when(F.col("_id").isNull(), "unknown_format")
+        .when(~F.col("_valid"), "preservation_failed").when(candidate >= size, "no_gain").when(F.lit(mode == "observe"), "observe_only").otherwise("reduced")
+    )
+    rows = rows.withColumn("reason", reason).withColumn("output", F.when(F.col("reason") == "reduced", F.col("_made")).otherwise(F.col("_t")))
+    after = F.octet_length("output").cast("long")
+    return rows.select(
+        key, status_of(F.col("_exit")).alias("status"), F.coalesce("_id", F.lit("identity")).alias("reducer_id"), "reason", (F.col("reason") == "reduced").alias("applied"), size.alias("original_bytes"),
+        candidate.alias("candidate_bytes"), after.alias("reduced_bytes"), F.ceil(size / 3).alias("original_tokens"), F.ceil(after / 3).alias("reduced_tokens"), F.col("_valid").alias("valid"), "output",
+    )
+
+
+def replay_cases() -> list[tuple[str, str, str, int | None, list[str]]]:
+    """(id, format, text, exit code, what must survive) of ten made-up outputs, one for each format and one of none (fixed values)."""
+    many = lambda n, f, sep="\n": sep.join(f(i) for i in range(n))
+    tests = many(100, lambda i: f" ✓ tests/detailed-success-{i}.test.ts (10 tests) 3ms")
+    lint = [{"filePath": "/repo/a.ts", "messages": [{"ruleId": "no-unused-vars", "severity": 2, "line": 4, "column": 2, "message": "unused token"}], "errorCount": 1, "warningCount": 0}]
+    response = {"status": "failed", "details": {"expected": 401, "actual": 200, "at": "auth.ts:42"}, "entries": [{"id": i, "valid": False} for i in range(40)]}
+    return [
+        ("vitest-3-human", "vitest", f" RUN v3.2.4\n{tests}\n FAIL auth.test.ts > rejects reuse\nExpected: 401\nReceived: 200\n ❯ auth.test.ts:42:9\n Test Files 1 failed | 100 passed\n Tests 1 failed | 1000 passed | 2 skipped | 1 cancelled\n", 1, ["rejects reuse", "Expected: 401", "Received: 200", "auth.test.ts:42:9"]),
+        ("jest-29-human", "jest", many(60, lambda i: f"PASS tests/success-{i}.test.ts") + "\nFAIL tests/refund.test.ts\n ● rejects negative refund\n Expected: 400\n Received: 200\n at refund.test.ts:18:2\nTest Suites: 1 failed, 60 passed\nTests: 1 failed, 60 passed, 2 skipped\n", 1, ["rejects negative refund", "Expected: 400", "Received: 200"]),
+        ("tsc-5-human", "tsc", "\n\nsrc/index.ts(7,9): error TS2322: string is not assignable to number\n\n\n 7 const count: number = name;\n\nFound 1 error.\n\n", 2, ["src/index.ts(7,9)", "TS2322", "const count"]),
+        ("eslint-9-json", "eslint", json.dumps(lint, indent=4), 1, ["no-unused-vars", "unused token"]),
+        ("git-status-human", "git-status", "On branch main\n\n\nChanges not staged for commit:\n\n\n modified: src/a.ts\n deleted: src/b.ts\n\n", 0, ["modified: src/a.ts", "deleted: src/b.ts"]),
+        ("git-diff-patch", "git-diff", many(8, lambda i: f"diff --git a/{i}.ts b/{i}.ts\nindex {'a' * 40}..{'b' * 40} 100644\n--- a/{i}.ts\n+++ b/{i}.ts\n@@ -1,2 +1,2 @@\n context\n-old\n+new\n", ""), 0, ["-old", "+new", " context", "@@ -1,2 +1,2 @@"]),
+        ("rg-14-lines", "search", many(50, lambda i: f"packages/really-long-component/src/refresh-token-service.ts:{i + 1}:4:token_{i}"), 0, ["refresh-token-service.ts", "1:4:token_0", "50:4:token_49"]),
+        ("json-response", "json", json.dumps(response, indent=4), 1, ['"status":"failed"', "auth.ts:42"]),
+        ("exact-logs", "logs", "2026-09-29T12:00:00Z begin\n" + many(100, lambda i: "INFO queue poll for tenant=alpha returned zero pending work items") + "\n2026-09-29T12:00:10Z ERROR request 4 expected 200 actual 503\n", 1, ["100 occurrences", "12:00:00Z", "12:00:10Z", "request 4 expected 200 actual 503"]),
+        ("unknown-future-format", "unknown", "Unknown future format\nThis must be passed through exactly.\n", None, ["Unknown future format", "This must be passed through exactly."]),
+    ]

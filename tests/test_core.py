@@ -39,7 +39,7 @@ def test_paths(spark):
 def test_json_and_csv(spark):
     text = '{ "id": 90071992547409931234, "id": -0, "escaped": "a \\" b", "space": " a  b " }'
     want = '{"id":90071992547409931234,"id":-0,"escaped":"a \\" b","space":" a  b "}'
-    assert one(spark, text, compact_json) == want == reduce.compact_json_text(text)
+    assert one(spark, text, compact_json) == want
     assert one(spark, '=HYPERLINK("evil")', csv_cell).startswith("\"'")
 
 
@@ -89,38 +89,66 @@ def test_stream_redactor():
 # --- reduction
 
 
-def balanced(text, **k):
-    return reduce.reduce_output(reduce.Output(text, mode="balanced", **k))
+def outputs(spark, *texts, artifact=None, exit_code=None, **k):
+    rows = [(i, t, artifact, exit_code, "x") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i long, t string, a string, e int, output string")
+    return sorted(reduce.reduced_outputs(df, "i", "t", artifact="a", exit_code="e", **k).collect(), key=lambda r: r["i"])
 
 
-def test_reduction_goldens():
-    assert balanced("x\nx")["reason"] == "no_gain"
-    assert balanced("future format; failure details", format="vitest")["reason"] == "unknown_format"
-    r = reduce.reduce_output(reduce.Output("request 1 failed: actual 503\n" * 9))
-    assert r["reason"] == "observe_only" and r["status"] == "unknown" and not r["applied"]
-    log = balanced("\n".join(["request 28 failed with actual 503 again"] * 7 + ["request 29"]))
-    assert log["reducer_id"] == "logs" and "7 occurrences" in log["output"] and "request 29" in log["output"]
-    tests = balanced("FAIL src/a.test.ts\n✓ sensitive result 10ms\n\n\nTests: 2 failed")
-    assert "✓ sensitive result 10ms" in tests["output"]
-    hits = balanced("C:\\repo\\a.ts:1:2:one\nC:\\repo\\a.ts:3:4:two\nC:\\repo\\a.ts:5:6:three")
-    assert hits["reducer_id"] == "search" and hits["output"].count("C:\\repo\\a.ts") == 1
+def test_reduction_goldens(spark):
     diff = "diff --git a/x b/x\nindex 0123456..89abcde 100644\n@@ -1 +1 @@\n-old\n+new\n" * 10
-    assert balanced(diff)["output"] == diff and "NOT AN APPLYABLE PATCH" in balanced(diff, artifact_id="a")["output"]
-    assert balanced("x", consumer="machine")["reason"].startswith("machine") and balanced("")["reason"] == "unknown_format"
-
-
-def test_a_faulty_reducer_is_rejected():
-    bad = reduce.Format("logs", lambda t: True, lambda p, o: "lost")
+    texts = [
+        "x\nx", "\n".join(["request 28 failed with actual 503 again"] * 7 + ["request 29"]), "FAIL src/a.test.ts\n✓ sensitive result 10ms\n\n\nTests: 2 failed",
+        "C:\\repo\\a.ts:1:2:one\nC:\\repo\\a.ts:3:4:two\nC:\\repo\\a.ts:5:6:three", diff, "", None, '{ "id": 90071992547409931234, "id": -0, "escaped": "a \\" b", "space": " a  b " }',
+    ]
+    same, log, tests, hits, patch, empty, null, js = outputs(spark, *texts)
+    assert same["reason"] == "no_gain" and same["output"] == "x\nx"
+    assert log["reducer_id"] == "logs" and "7 occurrences" in log["output"] and "request 29" in log["output"]
+    assert "✓ sensitive result 10ms" in tests["output"] and tests["reducer_id"] == "jest"
+    assert hits["reducer_id"] == "search" and hits["output"].count("C:\\repo\\a.ts") == 1 and hits["output"].endswith("  5:6:three")
+    assert patch["output"] == diff and patch["reason"] == "no_gain" and empty["reason"] == null["reason"] == "unknown_format"
+    assert js["output"] == '{"id":90071992547409931234,"id":-0,"escaped":"a \\" b","space":" a  b "}'
+    with_id = outputs(spark, diff, artifact="a", exit_code=0)[0]
+    assert "NOT AN APPLYABLE PATCH" in with_id["output"] and with_id["output"].count("+new") == 10 and with_id["status"] == "success"
+    assert outputs(spark, "future format; failure details", format="vitest")[0]["reason"] == "unknown_format"
+    seen = outputs(spark, "request 1 failed: actual 503\n" * 9, mode="observe")[0]
+    assert seen["reason"] == "observe_only" and seen["status"] == "unknown" and not seen["applied"]
+    assert outputs(spark, "x\nx" * 9, consumer="machine")[0]["reason"].startswith("machine") and outputs(spark, "[seen]\nxx\nxx", marker="[seen]")[0]["reason"] == "already_reduced"
+    assert [r["original_bytes"] for r in outputs(spark, "你好🙂")] == [10] and outputs(spark, "你好🙂")[0]["original_tokens"] == 4
+
+
+def test_replay_cases_reach_the_published_sizes(spark):
+    cases = reduce.replay_cases()
+    df = spark.createDataFrame([(i, f, t, e, "replay:" + i) for i, f, t, e, _ in cases], "id string, format string, text string, e int, a string")
+    got = {r["id"]: r for r in reduce.reduced_outputs(df, "id", "text", format="format", exit_code="e", artifact="a").collect()}
+    assert sum(r["original_bytes"] for r in got.values()) == 22_881 and sum(r["reduced_bytes"] for r in got.values()) == 3_695
+    assert all(r["valid"] and all(x in r["output"] for x in must) for i, _, _, _, must in cases for r in [got[i]])
+
+
+def test_a_faulty_form_is_rejected(spark):
     text = "first line of evidence\nsecond line of evidence"
-    r = reduce.reduce_output(reduce.Output(text, mode="balanced"), [bad])
-    assert r["reason"] == "preservation_failed" and r["output"] == text
-
-
-@given(st.lists(st.sampled_from(["a", "b", "", "long line of output"]), max_size=30))
-@settings(max_examples=60, deadline=None)
-def test_log_collapse_loses_nothing(x):
-    p = reduce.Parsed("\n".join(x), x)
-    assert reduce._same_log(p, reduce._collapse(p, None))
+    good = {f.id: f for f in reduce.FORMATS}
+    for held in ("tsc", "search", "logs", "json", "vitest"):
+        bad = reduce.Format(held, lambda t: F.lit(True), lambda t: F.lit("lost"), good[held].holds)
+        r = outputs(spark, text, formats=[bad])[0]
+        assert r["reason"] == "preservation_failed" and r["output"] == text and not r["valid"]
+    # hits under another path, a wrong number of repeats, a failing line dropped
+    wrong = {"search": ("a:1:x\nb:2:y", "a\n  2:y\nb\n  1:x"), "logs": ("m\nm\nm", "m\n" + reduce.REPEATED_TEXT % 2), "vitest": ("FAIL a\nPASS b.ts\nPASS c.ts", "2 successful test/suite lines grouped.\nFAIL a")}
+    for held, (given_text, out) in wrong.items():
+        bad = reduce.Format(held, lambda t: F.lit(True), lambda t, out=out: F.lit(out), good[held].holds)
+        assert outputs(spark, given_text, formats=[bad])[0]["reason"] == "preservation_failed", held
+
+
+def test_reduction_loses_nothing(spark):
+    """Runs of lines and hits by path come back as they were, whatever they are."""
+    r = random.Random(3)
+    logs = ["\n".join(r.choice(["a", "b", "", "long line", reduce.REPEATED_TEXT % 3]) for _ in range(r.randrange(1, 30))) for _ in range(200)]
+    hits = ["\n".join(f"{r.choice(['a.ts', 'b/c.ts', 'C:/d'])}:{r.randrange(9)}:{r.choice(['', '3:'])}{r.choice(['x', ' y', ':z'])}" for _ in range(r.randrange(1, 30))) for _ in range(200)]
+    df = spark.createDataFrame([(a, b) for a, b in zip(logs, hits)], "a string, b string").select(reduce.lines_of(F.col("a")).alias("a"), reduce.lines_of(F.col("b")).alias("b"))
+    back = df.cache().select("a", reduce.expanded_lines(reduce.collapsed_runs(F.col("a"))).alias("x"), F.array_sort("b").alias("b"), F.array_sort(reduce.hits_again(reduce.hits_by_path(F.col("b")))).alias("y")).collect()
+    marks = reduce.REPEATED_TEXT % 3
+    assert all(q["b"] == q["y"] for q in back) and all(q["a"] == q["x"] for q in back if marks not in q["a"])
+    assert all(q["a"] == q["x"] or marks in q["a"] for q in back)  # a text that holds such a mark itself is caught by the check
 
 
 # --- ordered selections
