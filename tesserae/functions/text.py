@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tesserae.functions.redaction import redacted
+
 SAFE_INT = 2**53 - 1
 
 # Words that carry no meaning in a task, and file extensions that say nothing about it (fixed values).
@@ -76,9 +78,11 @@ def status_of(exit_code: Column) -> Column:
     return F.when(exit_code.isNull(), "unknown").when(exit_code == 0, "success").otherwise("failure")
 
 
-def wrapper_exit_code(exit_code: Column, timed_out: Column, cancelled: Column) -> Column:
-    """Exit code a wrapper passes on: 124 after a timeout, 130 after cancellation, the child's otherwise, 1 if there is none."""
-    return F.when(timed_out, 124).when(cancelled, 130).otherwise(F.coalesce(exit_code, F.lit(1)))
+def wrapper_exit_code(exit_code: Column, timed_out: Column, cancelled: Column, incomplete: Column | None = None, signalled: Column | None = None) -> Column:
+    """Exit code a wrapper passes on: 125 if what it wrote is incomplete, 124 after a timeout, 130 after cancellation, 128 after a signal, the
+    child's otherwise, 1 if there is none."""
+    no = F.lit(False)
+    return F.when(F.coalesce(incomplete, no) if incomplete is not None else no, 125).when(timed_out, 124).when(cancelled, 130).when(F.coalesce(signalled, no) if signalled is not None else no, 128).otherwise(F.coalesce(exit_code, F.lit(1)))
 
 
 def lines_of(c: Column) -> Column:
@@ -111,8 +115,8 @@ def redact_source(c: Column) -> Column:
 
 
 def csv_cell(c: Column) -> Column:
-    """A quoted CSV cell that no spreadsheet takes for a formula; null is empty."""
-    text = F.coalesce(c.cast("string"), F.lit(""))
+    """A quoted CSV cell without known secrets, and one that no spreadsheet takes for a formula; null is empty."""
+    text = F.coalesce(redacted(c.cast("string")), F.lit(""))
     safe = F.when(text.rlike(r"^\s*[=+@-]"), F.concat(F.lit("'"), text)).otherwise(text)
     return F.concat(F.lit('"'), F.replace(safe, F.lit('"'), F.lit('""')), F.lit('"'))
 

@@ -6,16 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tesserae.functions.runtime import table
+from tesserae.functions.redaction import redacted_args
+from tesserae.functions.runtime import shared_folder, table
 from tesserae.streaming import redaction as R
 
 
 def _place(spark) -> str:
-    """A checkpoint of its own for each run, in the shared folder if the cluster names one."""
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="tesserae-stream-")
+    """A checkpoint of its own for each run, in the shared folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_dedup(spark, d):
@@ -33,8 +31,6 @@ def stream_windows(spark, d):
 
 def batch_redacted_runs(spark, d):
     """Arguments of runs with the values of sensitive flags hidden."""
-    from tesserae.functions.redaction import redacted_args
-
     r = table(spark, d, "run_results").dropDuplicates(["run_id"])
     return r.select("run_id", F.array_join(redacted_args(F.col("args")), " ").alias("args"))
 

@@ -48,8 +48,8 @@ def document_line_runs(spark, d):
 
 def line_runs_roundtrip(spark, d):
     docs = table(spark, d, "documents")
-    back = L.expanded_runs(L.line_runs(docs, "doc_id", "text"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.crc32(F.concat_ws("|", F.col("pos").cast("string"), "line"))).alias("sum"))
-    return back.select("doc_id", "lines")
+    back = L.expanded_runs(L.line_runs(docs, "doc_id", "text"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("pos").cast("string"), "line"), 256), 1, 8), 16, 10).cast("long")).alias("checksum"))
+    return back.select("doc_id", "lines", "checksum")
 
 
 def failure_latch(spark, d):
@@ -150,7 +150,9 @@ SQL = {
       n as (select *, case when lag(line) over (partition by doc_id order by pos) is not distinct from line and pos > 0 then 0 else 1 end as new from l),
       r as (select *, sum(new) over (partition by doc_id order by pos) as run from n)
       select doc_id, min(pos) as start, first(line) as line, count(*) as occurrences from r group by doc_id, run having count(*) > 1""",
-    "line_runs_roundtrip": f"select doc_id, len({_LINES.format(c='text')}) as lines from documents where text is not null",
+    "line_runs_roundtrip": f"""with l as (select doc_id, {_LINES.format(c='text')} as x from documents where text is not null),
+      e as (select doc_id, unnest(x) as line, unnest(range(len(x))) as pos from l)
+      select doc_id, count(*) as lines, cast(sum(cast('0x' || substr(sha256(pos || '|' || line), 1, 8) as bigint)) as bigint) as checksum from e group by 1""",
     "failure_latch": _DEDUP
     + r""", r as (select *, coalesce(regexp_matches(chunk_text, '^\s*(?:FAIL\b|FAILED\b|[×✕]\s|AssertionError\b|Error:|●\s)'), false) as fails from c),
       a as (select *, bool_or(fails) over (partition by artifact_id, stream order by seq) as after from r)

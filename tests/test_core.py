@@ -60,18 +60,37 @@ def test_redact(text, want):
 
 def test_redact_long_and_nested():
     assert X.redact_text('secret = "' + "x" * 200_000 + '"') == 'secret = "[REDACTED]"'
-    assert X.sanitize_value({"apiKey": "very-secret", "nested": ["password=secret"]}) == {"apiKey": "[REDACTED]", "nested": ["password=[REDACTED]"]}
-    assert X.redact_args(["--token", "v", "--api-key=w", "--cwd", "src"]) == ["--token", "[REDACTED ARGUMENT]", "--api-key=[REDACTED ARGUMENT]", "--cwd", "src"]
+    assert X.sanitize_json('{"apiKey": "very-secret", "nested": ["password=secret"], "cookie": [ "kept" ], "n": 1.50, "n": 1e2}') == '{"apiKey":"[REDACTED]","nested":["password=[REDACTED]"],"cookie":["kept"],"n":1.50,"n":1e2}'
+    assert X.sanitize_json('"a \\u00e9"') == '"a é"' and X.sanitize_json("[" * 5000 + "]" * 5000) == "[" * 5000 + "]" * 5000
     assert X.strict_json('{"a":1} x') is None and X.strict_json("[NaN]") is None and X.strict_json('{"a":1,"a":2}') == {"a": 2}
 
 
 @given(st.text(alphabet="a€🙂\n", max_size=200), st.integers(4, 9))
 @settings(max_examples=60, deadline=None)
 def test_split_utf8(text, most):
-    parts = X.split_utf8(text, most)
+    parts = X.utf8_pieces(text, most)
     assert "".join(parts) == text and all(len(p.encode()) <= most for p in parts)
 
 
+def test_redacted_args(spark):
+    """Against a pass over the arguments with one element of memory."""
+    r = random.Random(6)
+    rows = [[r.choice(["--token", "--secret", "v", "--api-key=w", "--cwd", "password=x1", None]) for _ in range(r.randrange(8))] for _ in range(200)] + [None]
+    flag = lambda a: a is not None and X.SENSITIVE_FLAG.search(a)
+
+    def want(args):
+        out, hide = [], False
+        for a in args:
+            bare = not hide and flag(a) and "=" not in a
+            out.append("[REDACTED ARGUMENT]" if hide else a[: a.index("=") + 1] + "[REDACTED ARGUMENT]" if flag(a) and "=" in a else X.redact_text(a))
+            hide = bare
+        return out
+
+    got = spark.createDataFrame([(x,) for x in rows], "a array<string>").select(X.redacted_args(F.col("a")).alias("a")).collect()
+    assert [g["a"] for g in got] == [None if x is None else want(x) for x in rows]
+    assert spark.createDataFrame([("a€" * 40_000,)], "t string").select(F.array_join(X.split_utf8(F.col("t")), "") == F.col("t")).first()[0]
+
+
 def test_stream_redactor():
     r = StreamRedactor()
     assert r.feed(b"authorization: Bearer sk-this-is-a-") == []
@@ -82,6 +101,14 @@ def test_stream_redactor():
     assert r.feed(euro[:2]) == [] and r.feed(euro[2:]) == ["€\n"]
     r = StreamRedactor(max_line=20)
     assert r.feed(b"a" * 100) == [WITHHELD + "\n"] and r.feed(b"tail\nok\n") == ["ok\n"]
+    r = StreamRedactor(max_line=20)
+    assert r.feed(b"-----BEGIN PRIVATE KEY-----\n" + b"k" * 50 + b"\n-----END PRIVATE KEY-----x\nA -----BEGIN PRIVATE KEY----- b -----END PRIVATE KEY-----\nfree\n") == ["[REDACTED PRIVATE KEY]\n", "[REDACTED PRIVATE KEY]\n", "free\n"]
+    whole, r = b"one\n\xe2\x82\xac two\npassword=abc\nrest", StreamRedactor()
+    cut_up = []
+    for i in range(len(whole)):
+        r = StreamRedactor(state=r.state)
+        cut_up += r.feed(whole[i : i + 1])
+    assert cut_up + r.end() == StreamRedactor().feed(whole, True) == ["one\n", "€ two\n", "password=[REDACTED]\n", "rest"]
     r = StreamRedactor()
     assert r.feed(b"first\r\nlast") == ["first\r\n"] and r.end() == ["last"]
 
