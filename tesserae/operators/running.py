@@ -25,6 +25,26 @@ def _running(df: DataFrame, keys: list[str], place: str, ties: list[str], value:
     return joined.withColumn(out, total).drop("_v", "_b", "_o")
 
 
+def placed(df: DataFrame, keys: list[str], order: list[Column], out: str = "place") -> DataFrame:
+    """df with `out`: the place of each row, from 0, within its group in the given order, for groups of any size and values of any spread.
+
+    Rows are range-partitioned by group and order, which cuts large groups into blocks of bounded size; a row's place is its number in its
+    block and the rows of the group's blocks before. Only the numbers of blocks are put in order together. The blocks are checkpointed, as
+    borders found anew could fall elsewhere. Rows that tie in the order get places next to each other; null keys make a group.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [F.col(k) for k in keys]
+    rows = cut(df.repartitionByRange(n, *columns, *order).withColumn("_b", F.spark_partition_id()))
+    counts = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    cond = F.col("_b") == F.col("_kb")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
+    return rows.join(offsets, cond).withColumn(out, F.col("_o") + inside - 1).drop("_b", "_kb", "_o", *[f"_k{i}" for i in range(len(keys))])
+
+
 def running_sum(df: DataFrame, keys: list[str], place: str, ties: list[str], value: Column, out: str = "upto", block: int = 4096) -> DataFrame:
     """df with `out`: the sum of `value` over the rows of the group up to and with this one, by `place` (a long) and `ties`.
 
@@ -44,18 +64,22 @@ def greedy_fill(df: DataFrame, keys: list[str], order: list[Column], cost: str,
 
     The pass needs no sequential task: in each round the longest beginning that fits is taken by a running sum, and all that exceeds
     what is left is struck off; the item at which a beginning ends is always among the latter, so every round makes progress, and after
-    the first the remaining budget is smaller than one item. Costs are positive; null costs are never taken.
+    the first the remaining budget is smaller than one item. A group of any size is spread over tasks: places and sums go over two
+    levels. Costs are positive; null costs are never taken. `item` names rows within a group.
     """
-    w = Window.partitionBy(*keys).orderBy(*order, item)
-    rest = cut(df.withColumn("_k", F.row_number().over(w)).withColumn("_left", budget.cast("long")).select(*keys, item, F.col(cost).cast("long").alias("_c"), "_k", "_left").filter("_c is not null and _c <= _left"))
+    ordered = placed(df.withColumn("_c", F.col(cost).cast("long")).withColumn("_left", budget.cast("long")), keys, [*order, F.col(item)], "_k")
+    rest = cut(ordered.select(*keys, item, "_c", "_k", "_left").filter("_c is not null and _c <= _left"))
     taken = None
     while True:
-        run = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-        marked = rest.withColumn("_s", F.sum("_c").over(run)).withColumn("_in", F.col("_s") <= F.col("_left"))
-        got = cut(marked)
+        got = cut(running_sum(rest, keys, "_k", [], F.col("_c"), "_s").withColumn("_in", F.col("_s") <= F.col("_left")))
         now = got.filter("_in")
         taken = now.select(*keys, item) if taken is None else taken.unionByName(now.select(*keys, item))
         used = now.groupBy(*keys).agg(F.max("_s").alias("_u"))
-        rest = cut(got.filter("not _in").join(used, keys, "left").withColumn("_left", F.col("_left") - F.coalesce("_u", F.lit(0))).filter("_c <= _left").select(*keys, item, "_c", "_k", "_left"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_u_{k}"))
+        used = used.select(*[F.col(k).alias(f"_u_{k}") for k in keys], "_u")
+        rest = got.filter("not _in").join(used, same, "left").withColumn("_left", F.col("_left") - F.coalesce("_u", F.lit(0)))
+        rest = cut(rest.filter("_c <= _left").select(*keys, item, "_c", "_k", "_left"))
         if rest.isEmpty():
             return df.join(taken, [*keys, item], "left_semi")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.operators.running import running_sum
+from tesserae.functions.runtime import cut
+from tesserae.operators.running import placed, running_sum
 
 
 def quota_append(chunks: DataFrame, keys: list[str], place: str, ties: list[str], text: str, quota: int) -> DataFrame:
@@ -26,9 +27,11 @@ def pruned_artifacts(df: DataFrame, keys: list[str], place: str, ties: list[str]
     """df with `pruned`, as an oldest-first pass decides that deletes what is expired and, while more than `limit` is used, anything.
 
     While the pass is above the limit it deletes all it meets; once below, it never comes above again. So an item is deleted if and only
-    if it is expired or the total without all items before it exceeds the limit, and no sequential pass is needed.
+    if it is expired or the total without all items before it exceeds the limit, and no sequential pass is needed. Places may be as far
+    apart as they like (a time, say): the sums go over blocks of rows, not of places.
     """
-    rows = running_sum(df, keys, place, ties, size, "_upto")
+    order = [F.col(place).asc_nulls_first(), *[F.col(t) for t in ties]]
+    rows = running_sum(cut(placed(df, keys, order, "_place")), keys, "_place", [], size, "_upto").drop("_place")
     total = rows.groupBy(*keys).agg(F.max("_upto").alias("_total"))
     used = F.col("_total") - F.col("_upto") + F.coalesce(size, F.lit(0)).cast("long")
     return rows.join(total, keys).withColumn("pruned", F.coalesce(expired, F.lit(False)) | (used > limit)).drop("_upto", "_total")
@@ -36,12 +39,12 @@ def pruned_artifacts(df: DataFrame, keys: list[str], place: str, ties: list[str]
 
 def session_epochs(events: DataFrame, session: str, order: list[str], checkpoint: Column, close: Column) -> DataFrame:
     """events with `epoch`, the number of checkpoints and closings so far, and `rejected`: anything after the first closing."""
-    w = Window.partitionBy(session).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = events.withColumn("_close", F.coalesce(close, F.lit(False))).withColumn("_step", F.coalesce(checkpoint | close, F.lit(False)))
-    rows = rows.withColumn("rejected", F.coalesce(F.max("_close").over(before), F.lit(False)))
-    counted = F.sum((F.col("_step") & ~F.col("rejected")).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("epoch", counted).drop("_close", "_step")
+    rows = placed(events, [session], [F.col(o) for o in order], "_place")
+    rows = rows.withColumn("_close", F.coalesce(close, F.lit(False))).withColumn("_step", F.coalesce(checkpoint | close, F.lit(False)))
+    # the first closing of each session is one row, however long the session
+    first = rows.filter("_close").groupBy(F.col(session).alias("_s")).agg(F.min("_place").alias("_first"))
+    rows = cut(rows.join(first, F.col(session).eqNullSafe(F.col("_s")), "left").withColumn("rejected", F.coalesce(F.col("_place") > F.col("_first"), F.lit(False))).drop("_s", "_first", "_close"))
+    return running_sum(rows, [session], "_place", [], (F.col("_step") & ~F.col("rejected")).cast("long"), "epoch").drop("_step", "_place")
 
 
 def repeated_failures(runs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.runtime import table
@@ -90,7 +91,7 @@ def _results(spark, d):
     o = table(spark, d, "orders")
     cond = F.when(F.col("o_orderkey") % 3 == 0, "native").when(F.col("o_orderkey") % 3 == 1, "tuned").otherwise("treated")
     return o.select(
-        F.col("o_custkey").cast("string").alias("task"), F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("o_custkey", cond).orderBy("o_orderkey")).cast("int").alias("repeat"), cond.alias("condition"),
+        F.col("o_custkey").cast("string").alias("task"), F.row_number().over(Window.partitionBy("o_custkey", cond).orderBy("o_orderkey")).cast("int").alias("repeat"), cond.alias("condition"),
         (F.col("o_orderstatus") == "F").alias("success"), F.when(F.col("o_orderkey") % 5 > 0, F.round(F.col("o_totalprice")).cast("long")).alias("tokens"), F.col("o_orderpriority").alias("token_source"),
     )
 

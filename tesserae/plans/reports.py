@@ -57,7 +57,7 @@ def evidence_ids(spark, d):
 
 
 def repository_fingerprints(spark, d):
-    f = table(spark, d, "indexed_files").filter("strlen(file_content) < 1048576".replace("strlen", "octet_length"))
+    f = table(spark, d, "indexed_files").filter("octet_length(file_content) < 1048576")
     return fingerprint(f.select("repository_id", F.col("file_path").alias("path"), F.sha2("file_content", 256).alias("hash")), "repository_id").select("repository_id", "files", "fingerprint")
 
 
@@ -114,7 +114,9 @@ SQL = {
       select repository_id, coalesce(runs, 0) as runs, coalesce(failures, 0) as failures, mean_ms, coalesce(active_sessions, 0) as active_sessions from a full join s using (repository_id)""",
     "newest_runs": _R + ", w as (select repository_id, run_id, cast(row_number() over (partition by repository_id order by created_at desc nulls last, run_id desc) as integer) as place from r) select * from w where place <= 200",
     "evidence_ids": "select file_id, 'source_' || substr(sha256(concat_ws('|', coalesce(repository_id, ''), '', coalesce(file_path, ''), coalesce(content_hash, ''), '1', coalesce(cast(line_count as varchar), ''))), 1, 40) as evidence_id from indexed_files",
-    "repository_fingerprints": "select repository_id, count(*) as files, sha256(string_agg(file_path || ':' || sha256(file_content), chr(10) order by file_path || ':' || sha256(file_content))) as fingerprint from indexed_files where strlen(file_content) < 1048576 group by 1",
+    "repository_fingerprints": """with l as (select repository_id, file_path || ':' || sha256(file_content) as line from indexed_files where strlen(file_content) < 1048576),
+      k as (select *, row_number() over (partition by repository_id order by line) as n from l)
+      select repository_id, count(*) as files, sha256(string_agg(line, chr(10) order by line)) as fingerprint from k where n <= 10000 group by 1""",
     "command_identity": _R + " select executable, count(*) as runs from r group by executable, args, cwd",
     "unreported_sessions": "select session_id from agent_sessions except select session_id from run_results",
     "encoding_resolution": "select n_name, case when n_nationkey % 3 = 0 then 'wide' end as encoding, case n_nationkey % 3 when 0 then 'verified' when 1 then 'unknown' else 'unspecified' end as mapping from nation",

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tesserae.functions.runtime import importable
 from tesserae.functions.text import is_indexed_sensitive
-from tesserae.operators.running import greedy_fill
+from tesserae.operators.running import greedy_fill, placed
 
 # Extensions of text that is indexed, and names without one (fixed values).
 TEXT_EXTENSIONS = [".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".json", ".md", ".mdx", ".txt", ".yaml", ".yml", ".toml", ".py", ".go", ".rs", ".java", ".c", ".cpp", ".h", ".css", ".scss", ".html", ".sql", ".sh", ".ps1", ".vue", ".svelte", ".rb", ".php", ".graphql", ".gql"]
@@ -61,10 +61,11 @@ def scan_tree(spark: SparkSession, root: str, max_file_bytes: int = 1 << 20, max
     return out.select(F.col("rel").alias("path"), "bytes", "hash", F.when(skipped.isNull(), F.col("content")).alias("content"), skipped.alias("skipped"))
 
 
-def fingerprint(files: DataFrame, *keys: str) -> DataFrame:
-    """One digest per tree over its sorted path:hash lines."""
-    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "path", "hash"))), "\n")
-    return files.groupBy(*keys).agg(F.sha2(lines, 256).alias("fingerprint"), F.count(F.lit(1)).alias("files"))
+def fingerprint(files: DataFrame, *keys: str, most_files: int = 10_000) -> DataFrame:
+    """One digest per tree over its sorted path:hash lines, of the first `most_files` paths; `files` tells how many these are."""
+    rows = placed(files.select(*keys, F.concat_ws(":", "path", "hash").alias("_line")), list(keys), [F.col("_line")], "_place").filter(F.col("_place") < most_files)
+    lines = F.array_join(F.array_sort(F.collect_list("_line")), "\n")  # at most most_files
+    return rows.groupBy(*keys).agg(F.sha2(lines, 256).alias("fingerprint"), F.count(F.lit(1)).alias("files"))
 
 
 def write_versioned(df: DataFrame, folder: str, version: str) -> str:
