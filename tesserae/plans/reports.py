@@ -8,7 +8,7 @@ from tesserae.functions import text as X
 from tesserae.functions.redaction import is_strict_json, redacted, sanitized_json
 from tesserae.functions.runtime import table
 from tesserae.functions.tokens import exact_tokens, resolved_encoding, ship
-from tesserae.operators.context import fragments
+from tesserae.operators.context import fragments, packages
 from tesserae.operators.search import with_related
 from tesserae.plans.text import TASKS, relevance_scores
 from tesserae.sources.files import fingerprint
@@ -102,7 +102,18 @@ def context_fragments(spark, d):
     return f.groupBy("task_id").agg(F.count(F.lit(1)).alias("fragments"), F.countDistinct("file_id").alias("files"), F.sum("score").alias("points"))
 
 
-QUERIES = {f.__name__: f for f in (run_states, run_filter, session_search, dashboard_counters, newest_runs, evidence_ids, repository_fingerprints, command_identity, unreported_sessions, sanitized_events, redacted_chunks, exact_token_counts, encoding_resolution, context_fragments)}
+def context_packages(spark, d):
+    """A package of fragments for each task under a budget of 4,000 tokens."""
+    tasks = spark.createDataFrame(TASKS, "task_id string, task string")
+    files = table(spark, d, "indexed_files")
+    scores = with_related(relevance_scores(spark, d), files).join(F.broadcast(tasks), "task_id")  # three tasks
+    f = fragments(files, table(spark, d, "source_symbols"), scores, scores.select("task_id", "file_id").filter("false")).withColumnRenamed("file_path", "path")
+    one = f.withColumn("evidence_id", F.concat_ws("-", "evidence_id", "file_id", "symbol")).dropDuplicates(["task_id", "evidence_id"])
+    p = packages(one, tasks.withColumn("budget", F.lit(4000)))
+    return p.select("task_id", "status", "tokens", F.size("sources").alias("sources"), "omitted_count")
+
+
+QUERIES = {f.__name__: f for f in (context_packages, run_states, run_filter, session_search, dashboard_counters, newest_runs, evidence_ids, repository_fingerprints, command_identity, unreported_sessions, sanitized_events, redacted_chunks, exact_token_counts, encoding_resolution, context_fragments)}
 
 _R = "with r as (select distinct on (run_id) * from run_results)"
 SQL = {

@@ -1,12 +1,14 @@
 """Scan of a tree, assembly of a package, token goldens, the stateful stream."""
 
+import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions.tokens import encoding, resolved_encoding
-from tesserae.operators.context import assemble, envelope
+from tesserae.operators.context import packages, tokens_with_own_number
 from tesserae.sources.files import fingerprint, scan_tree, write_versioned
 from tesserae.streaming.redaction import first_deliveries, redacted_stream, run_once, windowed_counts
 
@@ -31,14 +33,39 @@ def test_scan_and_limits(spark, tmp_path):
         write_versioned(rows.select("path"), str(tmp_path / "t"), "1")
 
 
-def test_package_stays_in_its_budget():
-    c = [{"evidence_id": f"e{i}", "path": f"t{i:02}.ts", "start_line": 1, "code": "x" * 200, "mandatory": False, "score": 12.0} for i in range(12)]
-    count = lambda t: -(-len(t.encode()) // 2)
-    p = assemble("task", c, 1200)
-    assert 0 < p["tokens"] == count(envelope(p)) <= 1200 and p["omitted_count"] > 0 and p == assemble("task", c, 1200) and p["status"] == "ready"
-    big = assemble("task", [c[0] | {"mandatory": True, "code": "y" * 5000}], 100)
-    assert big["status"] == "budget_exceeded" and big["sources"][0]["code"] == "y" * 5000
-    assert assemble("task", [], 1000)["sources"] == []
+def test_packages_stay_in_their_budgets(spark):
+    """Against the pass itself: add one after the other and measure, take the last optional ones away, then notes."""
+    r = random.Random(2)
+    schema = "task_id string, evidence_id string, path string, start_line long, code string, mandatory boolean, score double"
+    rows, budgets = [], []
+    for t in range(24):
+        n = [0, 3, 12, 40][t % 4]
+        rows += [(f"t{t}", f"e{i}", f"t{r.randrange(20):02}.ts", i, "é" * r.choice([0, 5, 80, 200, 900]) or None, r.random() < 0.08, float(r.randrange(30))) for i in range(n)]
+        budgets.append((f"t{t}", 'a "task"', r.choice([60, 400, 1500, 5000])))
+    got = {x["task_id"]: x for x in packages(spark.createDataFrame(rows, schema), spark.createDataFrame(budgets, "task_id string, task string, budget long")).collect()}
+    assert set(got) == {b[0] for b in budgets}
+    names = ["evidence_id", "path", "start_line", "code", "mandatory", "score"]
+    for task, _, budget in budgets:
+        mine = [dict(zip(names, (x[1], x[2], x[3], x[4] or "", x[5], x[6]))) for x in rows if x[0] == task]
+        p = got[task]
+        tokens = lambda x: -(-len(x.encode()) // 2)
+        assert p["tokens"] == tokens(p["package"]) and json.loads(p["package"])["tokens"] == p["tokens"]
+        assert (p["status"] == "ready") == (p["tokens"] <= budget)
+        must = {x["evidence_id"] for x in mine if x["mandatory"]}
+        shown = {x["evidence_id"] for x in p["sources"]}
+        assert must <= shown and len(shown) == len(p["sources"]) and p["omitted_count"] == len(mine) - len(shown) and len(p["omitted"]) <= 20
+        assert not {x["evidence_id"] for x in p["omitted"]} & shown
+        if p["status"] == "budget_exceeded":
+            assert shown == must and not p["omitted"]
+        order = sorted(mine, key=lambda x: (not x["mandatory"], -x["score"] / max(1, tokens(x["code"])), x["path"], x["start_line"]))
+        assert [x["evidence_id"] for x in p["sources"]] == [x["evidence_id"] for x in order if x["evidence_id"] in shown]
+        # nothing that was left out would still fit beside its sources without any note
+        bare = len(json.dumps({"purpose": 'a "task"', "status": "ready", "budget": budget, "tokens": 10**5, "sources": [dict(zip(names, s)) for s in p["sources"]], "omitted": [], "omitted_count": 99}, ensure_ascii=False, separators=(",", ":")).encode())
+        notes = sum(len(json.dumps({"path": x["path"], "evidence_id": x["evidence_id"]}, separators=(",", ":"))) + 1 for x in order[:20])
+        for x in order:
+            if x["evidence_id"] not in shown:
+                assert bare + len(json.dumps(x, ensure_ascii=False, separators=(",", ":")).encode()) + notes > 2 * budget - 40
+    assert [spark.range(1).select(tokens_with_own_number(F.lit(n))).first()[0] for n in (0, 1, 17, 18, 196, 197)] == [1, 1, 9, 10, 99, 100]
 
 
 @pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary here")
