@@ -22,7 +22,7 @@ def test_scan_and_limits(spark, tmp_path):
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(data)
     got = {r["path"]: r["skipped"] for r in scan_tree(spark, str(root), max_file_bytes=300, ignore=["ig.*", "src", "!src/keep.ts", "!.env"]).collect()}
-    assert got == {"a.ts": None, "b/c.py": None, "node_modules/x.js": "sensitive", "d.bin": "unsupported", "e.md": "binary", "f.md": "not_utf8", "g.md": "too_large", "ig.ts": "ignored", "Makefile": None, "src/keep.ts": None}
+    assert got == {".env": "sensitive", "a.ts": None, "b/c.py": None, "node_modules/x.js": "sensitive", "d.bin": "unsupported", "e.md": "binary", "f.md": "not_utf8", "g.md": "too_large", "ig.ts": "ignored", "Makefile": None, "src/keep.ts": None}
     small = {r["path"]: r["skipped"] for r in scan_tree(spark, str(root), max_total_bytes=10, max_files=4).collect()}
     assert small["Makefile"] is None and small["a.ts"] is None and small["b/c.py"] == "total_limit" and "file_limit" in small.values()
     rows = scan_tree(spark, str(root)).filter("skipped is null")
@@ -33,6 +33,27 @@ def test_scan_and_limits(spark, tmp_path):
         write_versioned(rows.select("path"), str(tmp_path / "t"), "1")
 
 
+def test_names_ignore_files_and_links(spark, tmp_path):
+    root = tmp_path / "tree"
+    files = {
+        "__tests__/a.ts": "1", "src/__init__.py": "1", "src/_app.tsx": "1", ".eslintrc.json": "{}", "src/b.ts": "1", ".gitignore": "*.log.ts\n/gen/\n# note\n\ndeep/**/x.ts\n", "a.log.ts": "1", "gen/c.ts": "1",
+        "sub/gen/c.ts": "1", "sub/.gitignore": "!keep.log.ts\n*.py\nmade/\n", "sub/keep.log.ts": "1", "sub/other.log.ts": "1", "sub/z.py": "1", "z.py": "1", "deep/1/2/x.ts": "1", "deep/1/y.ts": "1", "sub/made/q.ts": "1", "sub/made.ts": "1",
+    }
+    for name, text in files.items():
+        p = root / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    (tmp_path / "outside.ts").write_text("secret")
+    os.symlink(tmp_path / "outside.ts", root / "link.ts")
+    os.symlink(tmp_path, root / "loop")
+    got = {r["path"]: r["skipped"] for r in scan_tree(spark, str(root)).collect()}
+    out = {"a.log.ts", "gen/c.ts", "sub/other.log.ts", "sub/z.py", "deep/1/2/x.ts", "sub/made/q.ts"}
+    assert {p for p, why in got.items() if why == "ignored"} == out and {p for p, why in got.items() if why == "link"} == {"link.ts", "loop"}
+    assert {p for p, why in got.items() if why is None} == set(files) - out - {".gitignore", "sub/.gitignore"} and set(got) == set(files) | {"link.ts", "loop"}
+    (tmp_path / "empty").mkdir()
+    assert scan_tree(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_packages_stay_in_their_budgets(spark):
     """Against the pass itself: add one after the other and measure, take the last optional ones away, then notes."""
     r = random.Random(2)
