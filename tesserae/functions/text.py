@@ -143,3 +143,57 @@ def derived_id(prefix: str, length: int, *parts: Column) -> Column:
 def command_key(executable: Column, args: Column, cwd: Column) -> Column:
     """Identity of a command by executable, arguments and folder alone."""
     return F.sha2(F.to_json(F.struct(executable.alias("executable"), args.alias("args"), cwd.alias("cwd"))), 256)
+
+
+def error_signature(status: Column, exit_code: Column, timed_out: Column, cancelled: Column, lines: Column) -> Column:
+    """Identity of a failure by its outcome and its distinct non-blank lines; null for a success."""
+    return F.when(F.coalesce(exit_code == 0, F.lit(False)), F.lit(None)).otherwise(F.sha2(F.to_json(F.struct(status.alias("s"), exit_code.alias("e"), timed_out.alias("t"), cancelled.alias("c"), distinct_evidence(lines).alias("l")), {"ignoreNullFields": "false"}), 256))
+
+
+def text_value(c: Column) -> Column:
+    """A non-empty text cut to 300 UTF-16 units, then redacted; null for an empty one. A character that the cut would halve is left out."""
+    units = F.transform(F.split(F.left(c, F.lit(300)), ""), lambda x: F.when(F.octet_length(x) > 3, 2).otherwise(1))
+    over = F.aggregate(units, F.lit(0), lambda a, u: a + u) - 300
+    astral = lambda k: F.aggregate(F.slice(F.reverse(units), 1, k), F.lit(0), lambda a, u: a + u)
+    drop = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(over, F.lit(1))), lambda k: astral(k) >= over)), F.lit(0))
+    text = F.left(c, F.lit(300))
+    return F.when(F.coalesce(c, F.lit("")) != "", redacted(F.when(over <= 0, text).otherwise(F.left(text, F.length(text) - drop))))
+
+
+def stamped(client: Column, observed: Column) -> Column:
+    """struct(at, source): the client's own time if it can be read, else that of the observation."""
+    own = F.try_to_timestamp(client)
+    return F.struct(F.coalesce(own, observed).alias("at"), F.when(own.isNotNull(), "client").otherwise("observed").alias("source"))
+
+
+def within(root: Column, path: Column) -> Column:
+    """Whether a path, both in plain form, is the root or lies below it."""
+    base = F.regexp_replace(root, r"/+$", "")
+    return (path == base) | F.startswith(path, F.concat(base, F.lit("/")))
+
+
+def formatted_bytes(n: Column) -> Column:
+    """Bytes, KiB or MiB with one decimal."""
+    one = lambda x: F.format_string("%.1f", F.floor(x * 10 + 0.5) / 10)
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, F.concat(one(n / 1024), F.lit(" KiB"))).otherwise(F.concat(one(n / 1048576), F.lit(" MiB")))
+
+
+def formatted_share(part: Column, whole: Column) -> Column:
+    """A share in percent with one decimal; null where the whole is 0."""
+    return F.when(whole > 0, F.concat(F.format_string("%.1f", F.floor(part / whole * 1000 + 0.5) / 10), F.lit("%")))
+
+
+def files_digest(files, keys: list[str], path: Column, content: Column):
+    """(keys, digest): one digest of the files of each group over their sorted paths and contents, kept apart by characters that stand in neither."""
+    line = F.concat(path, F.lit("\x01"), content)
+    return files.select(*keys, F.struct(path.alias("p"), line.alias("l")).alias("_x")).groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["l"]), "\x02"), 256).alias("digest"))
+
+
+def in_event_session(payload: Column, session: Column) -> Column:
+    """Whether an event's payload names a session under either of its keys."""
+    return F.coalesce(F.get_json_object(payload, "$.sessionId") == session, F.lit(False)) | F.coalesce(F.get_json_object(payload, "$.session_id") == session, F.lit(False))
+
+
+def lifecycle_step(event: Column) -> Column:
+    """What a lifecycle event does to its session: open, checkpoint, close; null for all others."""
+    return F.when(event == "SessionStart", "open").when(event.isin("PreCompact", "PostCompact"), "checkpoint").when(event == "SessionEnd", "close")

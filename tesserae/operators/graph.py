@@ -79,3 +79,14 @@ def expand(edges: DataFrame, roots: DataFrame, max_depth: int = 2, max_files: in
         reached = front if reached is None else reached.unionByName(front)
         seen = seen.unionByName(front.select("repository_id", "file_path"))
     return reached.drop("_o")
+
+
+def import_issues(resolved: DataFrame, shown: int = 20) -> DataFrame:
+    """(repository_id, issues, omitted): for each repository the first `shown` imports whose outcome is not ok, by importer and specifier, and the
+    number of all others. A window of `shown` rows is cut before anything is gathered."""
+    bad = resolved.filter("outcome <> 'ok'").select("repository_id", "file_path", "specifier", "outcome")
+    w = Window.partitionBy("repository_id").orderBy("file_path", "specifier")
+    first = bad.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= shown)
+    issues = first.groupBy("repository_id").agg(F.array_sort(F.collect_list(F.struct("_k", "file_path", "specifier", "outcome"))).alias("issues"))
+    total = bad.groupBy("repository_id").agg(F.count(F.lit(1)).alias("n"))
+    return total.join(issues, "repository_id").select("repository_id", F.transform("issues", lambda x: F.struct(x["file_path"].alias("importer"), x["specifier"].alias("specifier"), x["outcome"].alias("issue"))).alias("issues"), (F.col("n") - F.size("issues")).alias("omitted"))
