@@ -40,12 +40,23 @@ def import_resolution(spark, d):
     return G.resolved_imports(table(spark, d, "indexed_files"))
 
 
-def import_expansion(spark, d):
-    """Files reached from tests; an imported name stands for the first file of the repository that bears it."""
-    files = table(spark, d, "indexed_files")
+def _linked(spark, d):
+    """The files with imports that resolve: a specifier that names no file is taken to mean the first file of the repository with that stem,
+    beside its own folder, so that its path is relative to the importer."""
+    files = table(spark, d, "indexed_files").filter("file_path is not null")
     named = files.groupBy("repository_id", stem_of(F.col("file_path")).alias("name")).agg(F.min("file_path").alias("target"))
     refs = G.imports_of(files).withColumn("name", F.regexp_extract("specifier", r"([^/.]+)(?:\.\w+)?$", 1))
-    return G.expand(refs.join(named, ["repository_id", "name"]), files.filter("is_test").select("repository_id", "file_path"), 2, None).select("repository_id", "file_path", "depth")
+    up = F.repeat(F.lit("../"), F.size(F.split("file_path", "/")) - 1)
+    said = refs.join(named, ["repository_id", "name"]).select("repository_id", "file_path", F.concat(F.lit("import x from './"), up, "target", F.lit("';")).alias("line")).distinct()
+    content = said.groupBy("repository_id", "file_path").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("file_content"))
+    return files.drop("file_content").join(content, ["repository_id", "file_path"], "left")
+
+
+def import_expansion(spark, d):
+    """Files reached from tests over resolved imports; see _linked for what the imports are."""
+    files = _linked(spark, d)
+    edges = G.resolved_imports(files).filter("outcome = 'ok'").select("repository_id", "file_path", "specifier", "target")
+    return G.expand(edges, files.filter("is_test").select("repository_id", "file_path"), 2, None).select("repository_id", "file_path", "depth")
 
 
 def chunk_quota(spark, d):
@@ -128,18 +139,30 @@ def _kv(k, v):
 def otlp_logs(spark, d):
     e = table(spark, d, "usage_deliveries").filter("usage_scope = 'claude-otel-api-request'")
     rec = F.struct(F.struct(F.lit("x.api_request").alias("stringValue")).alias("body"), F.array(_kv("request_id", F.col("delivery_id")), _kv("input_tokens", F.col("input_tokens")), _kv("cache_read_tokens", F.col("cached_input_tokens")), _kv("cache_creation_tokens", F.col("cache_write_tokens")), _kv("output_tokens", F.col("output_tokens"))).alias("attributes"))
-    res = F.struct(F.struct(F.array(_kv("repo", F.col("repository_id"))).alias("attributes")).alias("resource"), F.array(F.struct(F.array(rec).alias("logRecords"))).alias("scopeLogs"))
-    j = e.select("delivery_id", F.to_json(F.struct(F.array(res).alias("resourceLogs"))).alias("j"))
-    return M.log_requests(j, "delivery_id", "j").select("delivery_id", F.col("attributes")["repo"].alias("repo"), "input", "cached", "written", "output", "total")
+    j = _envelopes(e, rec, "scopeLogs", "logRecords", "resourceLogs")
+    return M.log_requests(j, "bucket", "j").select(F.col("request_id").cast("long").alias("delivery_id"), F.col("attributes")["repo"].alias("repo"), "input", "cached", "written", "output", "total")
+
+
+def _envelopes(rows, record, scopes, records, resources):
+    """Exports of some dozens of records each: several resources in a text, two scopes in a resource, several records in a scope."""
+    of = rows.groupBy(F.floor(F.col("delivery_id") / 40).alias("bucket"), "repository_id").agg(F.collect_list(record).alias("r"))  # at most 40
+    parts = F.array(F.struct(F.slice("r", 1, 2).alias(records)), F.struct(F.slice("r", 3, 40).alias(records)))
+    res = F.struct(F.struct(F.array(_kv("repo", F.col("repository_id"))).alias("attributes")).alias("resource"), parts.alias(scopes))
+    return of.groupBy("bucket").agg(F.collect_list(res).alias("x")).select("bucket", F.to_json(F.struct(F.col("x").alias(resources))).alias("j"))
 
 
 def otlp_metrics(spark, d):
     e = table(spark, d, "usage_deliveries").filter("usage_scope = 'claude-otel-token-metric' and event_time is not null")
-    point = F.struct(F.array(_kv("type", F.lit("input"))).alias("attributes"), (F.unix_micros("event_time") * 1000).cast("string").alias("timeUnixNano"), F.col("input_tokens").cast("string").alias("asInt"))
-    metric = F.struct(F.lit("token.usage").alias("name"), F.struct(F.when(F.col("counter_kind") == "cumulative", 2).otherwise(1).alias("aggregationTemporality"), F.array(point).alias("dataPoints")).alias("sum"))
-    res = F.struct(F.struct(F.array(_kv("repo", F.col("repository_id"))).alias("attributes")).alias("resource"), F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"))
-    j = e.select("delivery_id", F.to_json(F.struct(F.array(res).alias("resourceMetrics"))).alias("j"))
-    return M.metric_points(j, "delivery_id", "j", "token.usage").select("delivery_id", "temporality", F.col("attributes")["repo"].alias("repo"), (F.col("time_nanos") / 1000).cast("long").alias("micros"), "value")
+    point = F.struct(F.array(_kv("type", F.lit("input")), _kv("id", F.col("delivery_id"))).alias("attributes"), (F.unix_micros("event_time") * 1000).cast("string").alias("timeUnixNano"), F.col("input_tokens").cast("string").alias("asInt"))
+    metric = F.struct(F.lit("token.usage").alias("name"), F.struct(F.when(F.col("counter_kind") == "cumulative", 2).otherwise(1).alias("aggregationTemporality"), F.array(point, _other(point)).alias("dataPoints")).alias("sum"))
+    j = _envelopes(e, metric, "scopeMetrics", "metrics", "resourceMetrics")
+    rows = M.metric_points(j, "bucket", "j", "token.usage").filter(F.col("attributes")["type"] == "input")
+    return rows.select(F.col("attributes")["id"].cast("long").alias("delivery_id"), "temporality", F.col("attributes")["repo"].alias("repo"), (F.col("time_nanos") / 1000).cast("long").alias("micros"), "value")
+
+
+def _other(point):
+    """A second point of the same metric, of another type."""
+    return F.struct(F.array(_kv("type", F.lit("output")), _kv("id", F.col("delivery_id"))).alias("attributes"), point["timeUnixNano"].alias("timeUnixNano"), F.lit("1").alias("asInt"))
 
 
 def reduced_documents(spark, d):

@@ -40,10 +40,14 @@ def usage_dedup_conflicts(spark, sf_dir):
 
 
 def usage_series_resets(spark, sf_dir):
+    """Series of one token type each; a series starts anew each day, and every seventh delivery does not say when its series began."""
     e = _events(spark, sf_dir).filter(F.col("usage_scope") == U.METRIC_SCOPE)
-    dims = ["input_tokens", "output_tokens", "cached_input_tokens", "cache_write_tokens"]
-    series = F.sha2(F.concat_ws("|", "repository_id", F.coalesce("session_id", F.lit("")), F.coalesce("model_name", F.lit("")), F.coalesce("agent_name", F.lit(""))), 256)
-    samples = e.select("usage_source", "counter_kind", series.alias("series_id"), F.lit("any").alias("dimension"), F.lit(None).cast("timestamp").alias("start_time"), F.col("event_time").alias("sample_time"), F.coalesce(*dims).alias("value"), "ordinal")
+    kinds = {"input": "input_tokens", "output": "output_tokens", "cache_read": "cached_input_tokens", "cache_creation": "cache_write_tokens"}
+    points = F.filter(F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(c).alias("value")) for k, c in kinds.items()]), lambda x: x["value"].isNotNull())
+    start = F.when(F.col("delivery_id") % 7 > 0, F.date_trunc("day", "event_time"))
+    rows = e.select("*", start.alias("start_time"), F.explode(points).alias("x"))
+    series = F.sha2(F.concat_ws("|", "repository_id", F.coalesce("session_id", F.lit("")), F.coalesce("model_name", F.lit("")), F.coalesce("agent_name", F.lit("")), "x.dimension"), 256)
+    samples = rows.select("usage_source", "counter_kind", series.alias("series_id"), "x.dimension", "start_time", F.col("event_time").alias("sample_time"), "x.value", "ordinal")
     return U.series_summary(samples).select("usage_source", "counter_kind", "series_id", "samples", "last_value", "missing_starts", "resets")
 
 
@@ -94,10 +98,12 @@ SQL = {
     "usage_observed_total": f"""select repository_id, usage_scope, count(*) as deltas, case when count(*) filter (where {_U("total_tokens")}) = count(*) and sum(total_tokens) <= 9007199254740991 then cast(sum(total_tokens) as bigint) end as observed_total
       from usage_deliveries where counter_kind = 'delta' and usage_source in ('client_reported','provider_reported') and coalesce(usage_scope, '') <> 'claude-otel-token-metric' group by 1, 2""",
     "usage_dedup_conflicts": _BASE + "select repository_id, cast(duplicate_records as bigint) as duplicate_records, conflicting_correlations, analyzed_records from stats",
-    "usage_series_resets": """with s as (select usage_source, counter_kind, sha256(concat_ws('|', repository_id, coalesce(session_id,''), coalesce(model_name,''), coalesce(agent_name,''))) as series_id, event_time as t, delivery_id as o,
-      coalesce(input_tokens, output_tokens, cached_input_tokens, cache_write_tokens) as v from usage_deliveries where usage_scope = 'claude-otel-token-metric'),
-      w as (select *, lag(v) over (partition by usage_source, counter_kind, series_id order by t, o) as pv from s)
-      select usage_source, counter_kind, series_id, count(*) as samples, arg_max_null(v, row(t, o)) as last_value, count(*) as missing_starts, count(*) filter (where counter_kind = 'cumulative' and v < pv) as resets from w group by 1, 2, 3""",
+    "usage_series_resets": """with x as (select *, unnest(['input', 'output', 'cache_read', 'cache_creation']) as dim, unnest([input_tokens, output_tokens, cached_input_tokens, cache_write_tokens]) as v from usage_deliveries where usage_scope = 'claude-otel-token-metric'),
+      s as (select usage_source, counter_kind, sha256(concat_ws('|', repository_id, coalesce(session_id,''), coalesce(model_name,''), coalesce(agent_name,''), dim)) as series_id, event_time as t, delivery_id as o, v,
+        case when delivery_id % 7 > 0 then date_trunc('day', event_time) end as st from x where v is not null),
+      w as (select *, lag(v) over q as pv, lag(st) over q as ps from s window q as (partition by usage_source, counter_kind, series_id order by t, o))
+      select usage_source, counter_kind, series_id, count(*) as samples, arg_max_null(v, row(t, o)) as last_value, count(*) filter (where st is null) as missing_starts,
+        count(*) filter (where counter_kind = 'cumulative' and (coalesce(v < pv, false) or coalesce(st <> ps, false))) as resets from w group by 1, 2, 3""",
     "usage_import_merge": f"""with s as (select repository_id, correlation_id, first(row({_CMP}) order by delivery_id) as h from usage_deliveries where delivery_id % 2 = 0 and correlation_id is not null group by 1, 2)
       select i.repository_id, case when s.correlation_id is null then 'new' when s.h is not distinct from row({_CMP.replace(", ", ", i.").replace("input_tokens", "i.input_tokens", 1)}) then 'duplicate' else 'conflict' end as outcome, count(*) as events
       from usage_deliveries i left join s on i.repository_id = s.repository_id and i.correlation_id = s.correlation_id where delivery_id % 2 = 1 group by 1, 2""",
