@@ -44,7 +44,7 @@ def _linked(spark, d):
     """The files with imports that resolve: a specifier that names no file is taken to mean the first file of the repository with that stem,
     beside its own folder, so that its path is relative to the importer."""
     files = table(spark, d, "indexed_files").filter("file_path is not null")
-    named = files.groupBy("repository_id", stem_of(F.col("file_path")).alias("name")).agg(F.min("file_path").alias("target"))
+    named = files.filter(F.col("file_path").rlike(r"\.[cm]?[jt]sx?$")).groupBy("repository_id", stem_of(F.col("file_path")).alias("name")).agg(F.min("file_path").alias("target"))
     refs = G.imports_of(files).withColumn("name", F.regexp_extract("specifier", r"([^/.]+)(?:\.\w+)?$", 1))
     up = F.repeat(F.lit("../"), F.size(F.split("file_path", "/")) - 1)
     said = refs.join(named, ["repository_id", "name"]).select("repository_id", "file_path", F.concat(F.lit("import x from './"), up, "target", F.lit("';")).alias("line")).distinct()
@@ -200,7 +200,7 @@ SQL = {
     "snapshot_stale": f"with {_SNAP} select o.repository_id, o.path, case when n.path is null then 'vanished' else 'changed' end as state from o left join n using (repository_id, path) where n.hash is distinct from o.hash",
     "incremental_index_plan": f"with {_SNAP} select repository_id, case when n.path is null then 'delete' when o.path is null then 'index' when o.hash = n.hash then 'unchanged' else 'reindex' end as action, count(*) as files from o full join n using (repository_id, path) group by 1, 2",
     "import_resolution": f"with {_IMPORTS} select repository_id, file_path, specifier, outcome, case when outcome = 'ok' then target end as target from res",
-    "import_expansion": rf"""with {_IMPORTS}, t as (select repository_id, regexp_replace(regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\.[^.]+$', ''), '\.(test|spec)$', '') as name, min(file_path) as target from indexed_files group by 1, 2),
+    "import_expansion": rf"""with {_IMPORTS}, t as (select repository_id, regexp_replace(regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '\.[^.]+$', ''), '\.(test|spec)$', '') as name, min(file_path) as target from indexed_files where regexp_matches(file_path, '\.[cm]?[jt]sx?$') group by 1, 2),
       e as (select i.repository_id, i.file_path, t.target from i join t on i.repository_id = t.repository_id and regexp_extract(i.specifier, '([^/.]+)(?:\.\w+)?$', 1) = t.name), roots as (select repository_id, file_path from indexed_files where is_test),
       d1 as (select distinct repository_id, target as file_path from e semi join roots using (repository_id, file_path)), n1 as (select * from d1 anti join roots using (repository_id, file_path)),
       d2 as (select distinct repository_id, target as file_path from e semi join n1 using (repository_id, file_path)), n2 as (select * from d2 anti join roots using (repository_id, file_path) anti join n1 using (repository_id, file_path))
