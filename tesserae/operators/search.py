@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.runtime import cut
 from tesserae.functions.text import stem_of, task_words, words
 from tesserae.operators.graph import expand, resolved_imports
+from tesserae.operators.lookup import checked
 
 
 @dataclass(frozen=True)
@@ -22,6 +24,10 @@ class Weights:
     test: float = 5
 
 
+#: Words of all tasks together up to which they are looked for within each document's words, beyond by a join.
+MOST_TERMS = 5_000
+
+
 def tokens(c):
     """Tokens of full text: runs of letters and digits in lower case."""
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
@@ -35,10 +41,15 @@ def text_matches(tasks: DataFrame, docs: DataFrame, limit: int = 300, terms: int
     """
     q = tasks.select("task_id", F.explode(F.slice(task_words(F.col("task")), 1, terms)).alias("term")).distinct()
     wanted = q.select("term").distinct()
-    counted = docs.filter("content is not null").select("doc_id", tokens(F.col("content")).alias("t"))
-    n_docs, avg_len = counted.select(F.count(F.lit(1)), F.avg(F.size("t"))).first()
+    few = [r[0] for r in wanted.limit(MOST_TERMS + 1).collect()]  # the stated tasks' words
+    tokenized = docs.filter("content is not null").select("doc_id", tokens(F.col("content")).alias("t"))
+    # the corpus is read and tokenized once: of each document its length and the wanted words stay
+    counted = cut(tokenized.select("doc_id", F.size("t").alias("len"), (F.filter("t", lambda x: x.isin(*few)) if len(few) <= MOST_TERMS else F.col("t")).alias("t")))
+    n_docs, avg_len = counted.select(F.count(F.lit(1)), F.avg("len")).first()
     avg_len = avg_len or 1.0
-    hits = counted.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(wanted, "term", "left_semi")
+    hits = counted.select("doc_id", "len", F.explode("t").alias("term"))
+    if len(few) > MOST_TERMS:
+        hits = hits.join(wanted, "term", "left_semi")
     tf = hits.groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rows = tf.join(df, "term").join(q, "term")
@@ -52,19 +63,27 @@ def text_matches(tasks: DataFrame, docs: DataFrame, limit: int = 300, terms: int
 def relevance(tasks: DataFrame, files: DataFrame, matches: DataFrame, weights: Weights = Weights()) -> DataFrame:
     """(task_id, file_id, name_hits, text_match, explicit, score) of files with any point for a task.
 
-    files: file_id, file_path, names (path and symbol names). A path that the task names is explicit. Name hits are found by an
-    equi-join on words; explicit paths by an equi-join on the words of a task that contain a slash or a dot.
+    files: file_id, file_path, names (path and symbol names). A path that the task's text holds, anywhere, is explicit. Name hits are found
+    by an equi-join on words; for explicit paths each file is held against the stated tasks, which go to every worker if they are few.
+    `reasons` says in words what brought points.
     """
     q = tasks.select("task_id", F.explode(task_words(F.col("task"))).alias("word")).distinct()
     n = files.select("file_id", F.explode(words(F.col("names"))).alias("word"))
     name = n.join(q, "word").groupBy("task_id", "file_id").agg(F.count(F.lit(1)).alias("name_hits"))
-    said = tasks.select("task_id", F.explode(F.array_distinct(F.regexp_extract_all("task", F.lit(r"([\w@./-]*[./][\w@./-]*\w)"), 1))).alias("file_path")).distinct()
-    explicit = files.select("file_id", "file_path").join(said, "file_path").select("task_id", "file_id", F.lit(True).alias("explicit")).distinct()
+    stated = checked(tasks.select("task_id", "task"), 1000)
+    explicit = files.filter("file_path <> ''").select("file_id", "file_path").join(stated, F.contains("task", "file_path")).select("task_id", "file_id", F.lit(True).alias("explicit")).distinct()
     text = matches.select("task_id", F.col("doc_id").alias("file_id"), F.lit(True).alias("text_match"))
     rows = name.join(text, ["task_id", "file_id"], "full_outer").join(explicit, ["task_id", "file_id"], "full_outer")
     rows = rows.select("task_id", "file_id", F.coalesce("name_hits", F.lit(0)).cast("long").alias("name_hits"), F.coalesce("text_match", F.lit(False)).alias("text_match"), F.coalesce("explicit", F.lit(False)).alias("explicit"))
     score = F.col("name_hits") * weights.name + F.col("text_match").cast("int") * weights.text + F.col("explicit").cast("int") * weights.location
-    return rows.withColumn("score", score.cast("double"))
+    why = F.array_compact(F.array(F.when(F.col("explicit"), "named in the task"), F.when(F.col("name_hits") > 0, F.concat(F.lit("words in names: "), F.col("name_hits").cast("string"))), F.when(F.col("text_match"), "text match")))
+    return rows.withColumn("score", score.cast("double")).withColumn("reasons", why)
+
+
+def required_files(required: DataFrame, files: DataFrame) -> DataFrame:
+    """(task_id, file_path, missing): files that a task asks for, each once, and whether the repository lacks them. required: task_id, file_path."""
+    have = files.select("file_path").distinct().withColumn("_here", F.lit(True))
+    return required.select("task_id", "file_path").distinct().join(have, "file_path", "left").select("task_id", "file_path", F.col("_here").isNull().alias("missing"))
 
 
 def with_related(scores: DataFrame, files: DataFrame, weights: Weights = Weights(), max_depth: int = 2, max_files: int | None = 64) -> DataFrame:

@@ -92,7 +92,14 @@ def relevance_scores(spark, d):
     files = _files(spark, d)
     names = table(spark, d, "source_symbols").groupBy("file_id").agg(F.array_join(F.collect_set("symbol_name"), " ").alias("symbols"))
     named = files.select("file_id", "file_path").join(names, "file_id", "left").select("file_id", "file_path", F.concat_ws(" ", "file_path", "symbols").alias("names"))
-    return S.relevance(_tasks(spark), named, search_matches(spark, d))
+    return S.relevance(_tasks(spark), named, search_matches(spark, d)).drop("reasons")
+
+
+def relevance_reasons(spark, d):
+    """Why each file has points for a task."""
+    names = table(spark, d, "source_symbols").groupBy("file_id").agg(F.array_join(F.collect_set("symbol_name"), " ").alias("symbols"))
+    named = _files(spark, d).select("file_id", "file_path").join(names, "file_id", "left").select("file_id", "file_path", F.concat_ws(" ", "file_path", "symbols").alias("names"))
+    return S.relevance(_tasks(spark), named, search_matches(spark, d)).select("task_id", "file_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
 def budget_selection(spark, d):
@@ -107,7 +114,7 @@ def report_cells(spark, d):
     return r.select("run_id", F.concat_ws(",", *[X.csv_cell(F.col(c)) for c in cols]).alias("csv"))
 
 
-QUERIES = {f.__name__: f for f in (file_bytes_tokens, path_rules, task_words_of_sessions, file_line_counts, document_line_runs, line_runs_roundtrip, failure_latch, symbol_hits_grouped, chunk_prefix_cap, chunk_pages, json_compaction, source_redaction, search_matches, relevance_scores, budget_selection, report_cells)}
+QUERIES = {f.__name__: f for f in (file_bytes_tokens, path_rules, task_words_of_sessions, file_line_counts, document_line_runs, line_runs_roundtrip, failure_latch, symbol_hits_grouped, chunk_prefix_cap, chunk_pages, json_compaction, source_redaction, search_matches, relevance_scores, relevance_reasons, budget_selection, report_cells)}
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _EXT = ", ".join(f"'{w}'" for w in X.EXTENSION_WORDS)
@@ -182,3 +189,4 @@ SQL = {
     + " || ',' || ".join(f"""'"' || replace(case when regexp_matches(coalesce(cast({c} as varchar), ''), '^\\s*[=+@-]') then '''' else '' end || coalesce(cast({c} as varchar), ''), '"', '""') || '"'""" for c in ("run_id", "session_id", "executable", "run_status", "child_exit_code"))
     + " as csv from r",
 }
+SQL["relevance_reasons"] = f"select task_id, file_id, concat_ws('; ', case when name_hits > 0 then 'words in names: ' || name_hits end, case when text_match then 'text match' end) as reasons from ({SQL['relevance_scores']})"
