@@ -62,11 +62,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Size of df as the optimizer estimates it from its files; very large where it cannot tell."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Partitions enough for costly per-row work. A small table with few row groups is spread over the shuffle setting's partitions; one
     whose files give every core two splits or more stays as it is, so that large contents are never shuffled for this."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = planned_bytes(df)
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     if size // split >= 2 * spark.sparkContext.defaultParallelism:
         return df

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.runtime import cut
+from tesserae.functions.runtime import cut, planned_bytes
+
+#: A table of at most so many planned bytes goes through one window, as even a group that holds all of it is a small task. Both ways give the same rows.
+PLAIN_BYTES = 256 << 20
 
 
 def _running(df: DataFrame, keys: list[str], place: str, ties: list[str], value: Column, out: str, block: int, how: str) -> DataFrame:
     agg = F.sum if how == "sum" else F.max
     empty = F.lit(0 if how == "sum" else None).cast("long")
+    if planned_bytes(df) <= PLAIN_BYTES:
+        w = Window.partitionBy(*keys).orderBy(F.col(place).asc_nulls_first(), *ties).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, agg(F.coalesce(value.cast("long"), empty)).over(w))
     rows = df.withColumn("_v", F.coalesce(value.cast("long"), empty)).withColumn("_b", F.floor(F.coalesce(F.col(place).cast("long"), F.lit(-(2**62))) / block))
     sums = rows.groupBy(*keys, "_b").agg(agg("_v").alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -32,6 +38,8 @@ def placed(df: DataFrame, keys: list[str], order: list[Column], out: str = "plac
     block and the rows of the group's blocks before. Only the numbers of blocks are put in order together. The blocks are checkpointed, as
     borders found anew could fall elsewhere. Rows that tie in the order get places next to each other; null keys make a group.
     """
+    if planned_bytes(df) <= PLAIN_BYTES:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     columns = [F.col(k) for k in keys]
     rows = cut(df.repartitionByRange(n, *columns, *order).withColumn("_b", F.spark_partition_id()))

@@ -30,6 +30,16 @@ def sf():
     return path
 
 
+@pytest.fixture(params=["one window", "blocks"])
+def ways(request, monkeypatch):
+    """Both ways of the sums and places over ordered groups."""
+    from tesserae.operators import running
+
+    if request.param == "blocks":
+        monkeypatch.setattr(running, "PLAIN_BYTES", 0)
+    return request.param
+
+
 def norm(v):
     if isinstance(v, float):
         return "nan" if math.isnan(v) else round(v, 6)

@@ -181,7 +181,7 @@ def test_reduction_loses_nothing(spark):
 # --- ordered selections
 
 
-def test_running_sum_and_greedy(spark):
+def test_running_sum_and_greedy(spark, ways):
     r = random.Random(3)
     rows = [("g" if r.random() < 0.7 else None, i, r.choice([None, 1, 5, 40])) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, place long, v long")
@@ -205,7 +205,7 @@ def test_running_sum_and_greedy(spark):
     assert got == take
 
 
-def test_prune_equals_the_sequential_pass(spark):
+def test_prune_equals_the_sequential_pass(spark, ways):
     r = random.Random(5)
     rows = [(i, r.randrange(1, 50), r.random() < 0.2) for i in range(120)]
     used, want = sum(x[1] for x in rows), set()
@@ -217,7 +217,7 @@ def test_prune_equals_the_sequential_pass(spark):
     assert {x["place"] for x in store.pruned_artifacts(df, ["g"], "place", [], F.col("size"), F.col("expired"), 900).filter("pruned").collect()} == want
 
 
-def test_epochs_and_pages(spark):
+def test_epochs_and_pages(spark, ways):
     e = spark.createDataFrame([("s", 1, "checkpoint"), ("s", 2, "close"), ("s", 3, "checkpoint"), ("s", 4, None)], "s string, t long, k string")
     got = store.session_epochs(e, "s", ["t"], F.col("k") == "checkpoint", F.col("k") == "close").orderBy("t").collect()
     assert [(x["epoch"], x["rejected"]) for x in got] == [(1, False), (2, False), (2, True), (2, True)]

@@ -12,7 +12,7 @@ from tesserae.operators.graph import import_issues, resolved_imports
 from tesserae.operators.symbols import declared_symbols, references_of
 
 
-def test_upsert_and_sequence(spark):
+def test_upsert_and_sequence(spark, ways):
     old = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
     new = spark.createDataFrame([("b", 9, "x"), (None, 8, "x"), ("c", 7, "x")], "k string, v int, c string")
     got = {tuple(r) for r in R.upserted(old, new, ["k"], spark.createDataFrame([("a",)], "k string")).collect()}
@@ -42,7 +42,7 @@ def test_packages_and_evidence(spark):
     assert [x["why_not"] for x in R.evidence_rules(rules, "refs", "size").collect()] == [None, "no_references", "no_references", "repeated_reference", "too_large", "too_many_references"]
 
 
-def test_admission_and_chains(spark):
+def test_admission_and_chains(spark, ways):
     r = random.Random(2)
     rows = [(r.choice("ab"), i, r.choice([1, 5, 9])) for i in range(60)]
     got = {x["i"]: x["admitted"] for x in R.admitted(spark.createDataFrame(rows, "k string, i int, c int"), ["k"], [F.col("i")], F.col("c"), 40, 9).collect()}

@@ -15,7 +15,7 @@ from tesserae.streaming.redaction import first_deliveries, redacted_stream, run_
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def test_scan_and_limits(spark, tmp_path):
+def test_scan_and_limits(spark, tmp_path, ways):
     root = tmp_path / "tree"
     for name, data in {"a.ts": b"let a", "b/c.py": b"x = 1\n" * 3, ".env": b"K=1", "node_modules/x.js": b"1", "d.bin": b"1", "e.md": b"\x00", "f.md": b"\xff\xfe", "g.md": b"z" * 400, "ig.ts": b"1", "Makefile": b"all:", "src/keep.ts": b"2"}.items():
         p = root / name
@@ -54,7 +54,7 @@ def test_names_ignore_files_and_links(spark, tmp_path):
     assert scan_tree(spark, str(tmp_path / "empty")).count() == 0
 
 
-def test_packages_stay_in_their_budgets(spark):
+def test_packages_stay_in_their_budgets(spark, ways):
     """Against the pass itself: add one after the other and measure, take the last optional ones away, then notes."""
     r = random.Random(2)
     schema = "task_id string, evidence_id string, path string, start_line long, code string, mandatory boolean, score double"
