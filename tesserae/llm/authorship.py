@@ -12,6 +12,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from math import log2, log10
 
@@ -205,7 +206,8 @@ def classify_files(files: DataFrame, threshold: float | None = None, trees: int
         return noticed
     folds = FOLDS if all(any(f != k and y == label for f, y in seen) for k in range(FOLDS) for label in labels) else 1
     forest = RandomForestClassifier(numTrees=trees, maxDepth=9, minInstancesPerNode=2, featureSubsetStrategy="sqrt", subsamplingRate=0.8, maxBins=48, seed=seed, cacheNodeIds=False)
-    models = [forest.fit(train.filter(F.col("fold") != k) if folds > 1 else train) for k in range(folds)]
+    with ThreadPoolExecutor(folds) as pool:  # fits are many small jobs, which leave most of a cluster idle one after the other
+        models = list(pool.map(lambda k: forest.fit(train.filter(F.col("fold") != k) if folds > 1 else train), range(folds)))
     score = 1 - vector_to_array("probability")[0]
     parts = [m.transform(rows.filter(F.col("fold") == k) if folds > 1 else rows) for k, m in enumerate(models)]
     scored = cut(reduce(DataFrame.unionByName, parts).select("file_id", "notice", "label", "filled", score.alias("score")))

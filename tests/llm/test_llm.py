@@ -137,7 +137,7 @@ def test_no_key_body_survives_in_chunks(spark, lines_a_chunk, whole):
     assert got[("stdout", 900)] == "done in 3 s\n" and got[("stdout", 901)] == body[0] + "\n"  # the block ended where no body stood
 
 
-def test_token_over_several_chunks(spark):
+def test_token_over_several_chunks(spark, ways):
     rows = [chunk("a", 0, "Authorization: Bearer a8Fk20sLq93mXz81"), chunk("a", 1, "Kq83hsTb20d"), chunk("a", 2, "xY71"), chunk("a", 3, "Zu55 and more"), chunk("a", 4, "plainword9"), chunk("b", 0, "all good"), chunk("b", 1, "wordword9")]
     got = {(x["artifact_id"], x["seq"]): x["redacted_text"] for x in secrets.redact_chunks(spark.createDataFrame(rows, CHUNK)).collect()}
     assert [got[("a", i)] for i in range(5)] == ["Authorization: Bearer REDACTED", "REDACTED", "REDACTED", "REDACTED and more", "plainword9"] and got[("b", 1)] == "wordword9"
