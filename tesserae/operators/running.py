@@ -88,6 +88,6 @@ def greedy_fill(df: DataFrame, keys: list[str], order: list[Column], cost: str,
             same = same & F.col(k).eqNullSafe(F.col(f"_u_{k}"))
         used = used.select(*[F.col(k).alias(f"_u_{k}") for k in keys], "_u")
         rest = got.filter("not _in").join(used, same, "left").withColumn("_left", F.col("_left") - F.coalesce("_u", F.lit(0)))
-        rest = cut(rest.filter("_c <= _left").select(*keys, item, "_c", "_k", "_left"))
+        rest = rest.filter("_c <= _left").select(*keys, item, "_c", "_k", "_left")  # of what is checkpointed
         if rest.isEmpty():
             return df.join(taken, [*keys, item], "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import SAFE_INT, usable_count
+from tesserae.operators.running import placed
 
 DIMENSIONS = ["input_tokens", "cached_input_tokens", "cache_write_tokens", "output_tokens", "reasoning_tokens", "total_tokens"]
 METRIC_SCOPE = "claude-otel-token-metric"  # a value of the data
@@ -50,10 +51,21 @@ def deduplicated(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("_key", "_h").join(keep, "ordinal", "left_semi"), stats
 
 
-def coverage_groups(events: DataFrame) -> DataFrame:
+def coverage_groups(events: DataFrame, most_events: int | None = None) -> DataFrame:
     """For each repository, source and scope: records, deltas, cumulative samples, eligible deltas, those without a usable total, whether
-    the sum left the safe range before a total was missing, and the recorded tokens, null if anything of the repository is in doubt."""
+    the sum left the safe range before a total was missing, and the recorded tokens, null if anything of the repository is in doubt.
+
+    With `most_events` only the first so many records of each repository, by ordinal, are looked at; where there are more, the scan is
+    truncated and no tokens are given.
+    """
+    whole = F.lit(True)
+    if most_events is not None:
+        total = events.groupBy("repository_id").agg((F.count(F.lit(1)) <= most_events).alias("_whole"))
+        events = placed(events, ["repository_id"], [F.col("ordinal")], "_at").filter(F.col("_at") < most_events).drop("_at")
+        whole = F.col("_whole")
     accepted, stats = deduplicated(events)
+    if most_events is not None:
+        stats = stats.join(total, "repository_id")
     rows = accepted.select(
         "repository_id", _source().alias("source"), F.coalesce(F.nullif("usage_scope", F.lit("")), F.lit("unknown")).alias("scope"), "counter_kind", eligible().alias("e"), usable_count(F.col("total_tokens")).alias("usable"), "total_tokens",
         F.struct(F.col("event_time").isNull().alias("n"), F.col("event_time").alias("t"), F.col("event_id").alias("i"), F.col("ordinal").alias("o")).alias("place"),
@@ -68,11 +80,11 @@ def coverage_groups(events: DataFrame) -> DataFrame:
     # totals are not negative, so the running sum left the range before the first missing total if and only if their sum did
     late = groups.filter(F.col("missing_at").isNotNull() & (F.col("total") > SAFE_INT)).select(*keys, F.col("missing_at").alias("until"))
     sums = rows.filter("e and usable").join(late, keys).filter(F.col("place") < F.col("until")).groupBy(*keys).agg(F.sum(F.col("total_tokens").cast("decimal(38,0)")).alias("early"))
-    joined = groups.join(sums, keys, "left").join(stats.select("repository_id", "conflicting_correlations"), "repository_id")
+    joined = groups.join(sums, keys, "left").join(stats.select("repository_id", "conflicting_correlations", whole.alias("_complete")), "repository_id")
     overflow = F.when(F.col("missing_at").isNull(), F.coalesce(F.col("total") > SAFE_INT, F.lit(False))).otherwise(F.coalesce(F.col("early") > SAFE_INT, F.lit(False)))
     return joined.withColumn("total_overflow", overflow).select(
         *keys, "records", (F.col("records") - F.col("cumulative_records")).alias("delta_records"), "cumulative_records", "eligible_records", "missing_total_records", "total_overflow",
-        F.when((F.col("missing_total_records") == 0) & ~F.col("total_overflow") & (F.col("conflicting_correlations") == 0), F.col("total").cast("long")).alias("recorded_tokens"),
+        F.when((F.col("missing_total_records") == 0) & ~F.col("total_overflow") & (F.col("conflicting_correlations") == 0) & F.col("_complete"), F.col("total").cast("long")).alias("recorded_tokens"),
     )
 
 

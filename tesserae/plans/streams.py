@@ -35,7 +35,13 @@ def batch_redacted_runs(spark, d):
     return r.select("run_id", F.array_join(redacted_args(F.col("args")), " ").alias("args"))
 
 
-QUERIES = {f.__name__: f for f in (stream_dedup, stream_windows, batch_redacted_runs)}
+def stream_redacted(spark, d):
+    """Chunks of output as a stream of redacted lines, kept together by artifact and stream: what left for each of them."""
+    out = R.run_once(R.redacted_stream(R.folder_stream(spark, d, "artifact_chunks").select("artifact_id", "stream", "seq", "chunk_text")), "stream_redacted_" + uuid.uuid4().hex[:8], _place(spark))
+    return out.groupBy("artifact_id", "stream").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+QUERIES = {f.__name__: f for f in (stream_dedup, stream_windows, stream_redacted, batch_redacted_runs)}
 SQL = {
     "stream_dedup": "select repository_id, count(distinct correlation_id) as events from usage_deliveries group by 1 having count(correlation_id) > 0",
     "stream_windows": "select time_bucket(interval 1 day, ts) as day, event_type, count(*) as n from events group by 1, 2",

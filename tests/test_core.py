@@ -231,7 +231,7 @@ def test_epochs_and_pages(spark, ways):
 # --- snapshots and graph
 
 
-def test_snapshot_diff(spark):
+def test_snapshot_diff(spark, ways):
     s = "repository_id string, path string, hash string"
     old = spark.createDataFrame([("r", "a.ts", "1"), ("r", "gone.ts", "2"), ("r", "same", None), ("r", "m", "5")], s)
     new = spark.createDataFrame([("r", "renamed.ts", "1"), ("r", "new.ts", "3"), ("r", "same", None), ("r", "m", "6")], s)

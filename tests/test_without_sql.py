@@ -113,3 +113,30 @@ def test_search_for_many_words_and_named_paths(spark, monkeypatch):
     assert got[("t", 1)][0] and "named in the task" in got[("t", 1)][1] and not got[("u", 3)][0] and got[("u", 3)][1] == ["words in names: 1"]
     need = required_files(spark.createDataFrame([("t", "lib/gamma.ts"), ("t", "gone.ts"), ("t", "gone.ts")], "task_id string, file_path string"), files)
     assert {tuple(r) for r in need.collect()} == {("t", "lib/gamma.ts", False), ("t", "gone.ts", True)}
+
+
+def test_stream_of_redacted_lines(spark, sf):
+    from tesserae.streaming.redaction import StreamRedactor
+
+    want, per = {}, {}
+    for r in sorted(rows(spark, sf, "artifact_chunks"), key=lambda r: (r["artifact_id"], r["stream"], r["seq"])):
+        out = per.setdefault((r["artifact_id"], r["stream"]), StreamRedactor()).feed((r["chunk_text"] or "").encode())
+        n, size = want.get((r["artifact_id"], r["stream"]), (0, 0))
+        want[(r["artifact_id"], r["stream"])] = (n + len(out), size + sum(len(x.encode()) for x in out))
+    got = {(r["artifact_id"], r["stream"]): (r["lines"], r["bytes"]) for r in streams.stream_redacted(spark, sf).collect()}
+    assert got == {k: v for k, v in want.items() if v[0]}
+
+
+def test_truncated_scan_and_other_policy(spark, sf):
+    from tesserae.operators.snapshots import index_plan
+    from tesserae.operators.usage import coverage_groups
+    from tesserae.plans.usage import _events
+
+    e = _events(spark, sf)
+    most = max(r["count"] for r in e.groupBy("repository_id").count().collect())
+    assert sorted(map(repr, coverage_groups(e, most).collect())) == sorted(map(repr, coverage_groups(e).collect()))
+    cut = coverage_groups(e, most - 1).collect()
+    big = {r["repository_id"] for r in e.groupBy("repository_id").count().filter(f"count = {most}").collect()}
+    assert all(r["recorded_tokens"] is None for r in cut if r["repository_id"] in big)
+    s = spark.createDataFrame([("r", "a", "1")], "repository_id string, path string, hash string")
+    assert index_plan(s, s).first()["action"] == "unchanged" and index_plan(s, s, same_policy=False).first()["action"] == "reindex"
