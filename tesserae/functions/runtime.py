@@ -64,7 +64,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def planned_bytes(df: DataFrame) -> int:
     """Size of df as the optimizer estimates it from its files; very large where it cannot tell."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:  # an estimate that multiplied over many joins has more digits than Python reads
+        return 1 << 62
 
 
 def spread(df: DataFrame) -> DataFrame:
