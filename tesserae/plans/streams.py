@@ -18,7 +18,7 @@ def _place(spark) -> str:
 
 def stream_dedup(spark, d):
     """Deliveries with distinct repository and correlation, counted by source."""
-    s = R.first_deliveries(R.folder_stream(spark, d, "usage_deliveries").filter("correlation_id is not null"), ["repository_id", "correlation_id"]).select("repository_id", "correlation_id")
+    s = R.first_deliveries(R.folder_stream(spark, d, "usage_deliveries").filter("correlation_id is not null"), ["repository_id", "correlation_id"]).select("repository_id")
     out = R.run_once(s, "stream_dedup_" + uuid.uuid4().hex[:8], _place(spark))
     return out.groupBy("repository_id").agg(F.count(F.lit(1)).alias("events"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.tokens import encoding, resolved_encoding
 from tesserae.operators.context import packages, tokens_with_own_number
+from tesserae.plans import streams
 from tesserae.sources.files import fingerprint, scan_tree, write_versioned
 from tesserae.streaming.redaction import first_deliveries, redacted_stream, run_once, windowed_counts
 
@@ -113,3 +114,18 @@ def test_streams(spark, tmp_path):
     ev.write.parquet(str(tmp_path / "ev"))
     w = run_once(windowed_counts(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev")), "t", "k"), "windows", str(tmp_path / "c3"), "complete")
     assert sorted(r["n"] for r in w.collect()) == [1, 2]
+
+
+def test_stream_rows_stay_off_the_driver(spark, tmp_path):
+    """stream_dedup with a limit for what the driver may get, far below the rows that the stream gives; tables without any row for it."""
+    ids = spark.range(60_000).select(F.sha2((F.col("id") % 20_000).cast("string"), 256).alias("correlation_id"), F.sha2((F.col("id") % 10_000).cast("string"), 256).alias("repository_id"))
+    ids.write.parquet(str(tmp_path / "much/usage_deliveries.parquet"))
+    ids.limit(3).withColumn("correlation_id", F.lit(None).cast("string")).write.parquet(str(tmp_path / "nulls/usage_deliveries.parquet"))
+    ids.limit(0).write.parquet(str(tmp_path / "empty/usage_deliveries.parquet"))
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "600k")
+    try:
+        got = [streams.stream_dedup(spark, str(tmp_path / x)).agg(F.count("*"), F.min("events"), F.max("events")).first() for x in ("much", "nulls", "empty")]
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+    assert [tuple(x) for x in got] == [(10_000, 2, 2), (0, None, None), (0, None, None)]
